@@ -1,0 +1,262 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quadstrata.llm import byte_bpe, iblt, lm, mixing, pii, queries, secrets, token_files, toxicity
+
+sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+key = lambda r: (r is None, r or 0)
+
+
+def bag(df, *cols):
+    return Counter(tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in df.select(*cols).collect())
+
+
+# --- spans ---
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute_secrets(t):
+    out = []
+    for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A):
+        out += [(m.start(), 0, m.end(), "assign")] if len(m[1]) >= 6 else []
+    for k, (name, p, n) in enumerate((("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)), 1):
+        out += [(m.start(), k, m.end(), name) for m in re.finditer(p, t) if len(m[0]) >= n]
+    return sorted(out)
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out += [(m.start(), 2, m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+text_of = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+
+
+def test_secrets(docs, rows, none, spark, sf):
+    for table, data in ((docs, rows), (d := spark.read.parquet(f"{sf}/documents.parquet"), [(r.doc_id, r.text) for r in d.collect()])):
+        got = secrets.secrets(table)
+        want = [(r[0], brute_secrets(r[1] or "")) for r in data]
+        assert bag(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == Counter((i, *[sum(x[3] == k for x in s) for k in secrets.BASE], sha(text_of(s))) for i, s in want)
+        assert Counter((i, x) for i, s in want for x in text_of(s).split(",") if x) <= Counter((r.doc_id, x) for r in got.collect() for x in r.spans.split(",") if x)
+    assert secrets.secrets(none).count() == 0
+
+
+def test_secret_ownership(spark):
+    live, shared, tok = "a1" * 16, "b2" * 16, "Zx9Kq2LmN8vB4cT7yU1wE5rP3sD6fG0hJ"
+    rows = [(k, f"id {shared} end", f"owner{k}") for k in range(6)] + [(10, f"id {live} end", "owner1"), (11, f"x {tok} y", "owner2")]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got[0].n_copied == 1 and got[0].n_live == 0 and got[0].max_owners == 6
+    assert got[10].n_live == 1 and got[10].n_copied == 0
+    assert got[11].spans == f"token:2:{2 + len(tok)}" and got[11].n_live == 1
+
+
+def test_pii(docs, rows, none, spark, sf):
+    for table, data in ((docs, rows), (d := spark.read.parquet(f"{sf}/documents.parquet"), [(r.doc_id, r.text) for r in d.collect()])):
+        got = pii.personal_data(table)
+        want = [(r[0], brute_pii(r[1] or "")) for r in data]
+        assert bag(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == Counter((i, *[sum(x[3] == k for x in s) for k in pii.BASE], sha(text_of(s))) for i, s in want)
+    assert pii.personal_data(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pii_matches_on_noise(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        t = "".join(rng.choice(list("ab.@-+ 0123456789()é_%"), rng.integers(1, 60)))
+        assert sorted((a, pii.ORDER[k], b, k) for a, b, k in pii.base_spans(t)) == brute_pii(t)
+
+
+def test_pii_validators_and_context():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+    t = "IBAN GB82 WEST 1234 5698 7654 32."
+    assert (5, len(t) - 1, "iban") in pii.more_spans(t)
+    bare, near = "is 078-05-1120 now", "SSN 078-05-1120 now"
+    assert pii.score(near, pii.more_spans(near)[0]) > pii.score(bare, pii.more_spans(bare)[0])
+    assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000 + ".") == []
+
+
+# --- toxicity ---
+
+
+def test_noisy_or_finds_sentences(none):
+    clean = [f"the house number {k} is blue. we walk home." for k in range(200)]
+    toxic = [f"the house number {k} is blue. you are a rotten fool. we walk home." for k in range(200)]
+    m = toxicity.train(clean + toxic, [0] * 200 + [1] * 200)
+    assert m.score(clean[0]) < 0.3 and m.score(toxic[0]) > 0.7
+    a, b, _ = max(m.sentences(toxic[3]), key=lambda s: s[2])
+    assert "fool" in toxic[3][a:b]
+    assert 0 <= m.score("") < 0.3 and m.score("") == m.score("   ")
+    assert toxicity.toxicity(none, m).count() == 0 and toxicity.keep_clean(none, m).columns == none.columns
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op2_toxicity(spark, sf).join(queries.labels(spark, sf), "doc_id").filter("held_out").toPandas()
+    y, p = got.toxic == 1, got.predicted == 1
+    assert (p & y).sum() >= 0.6 * y.sum() and (p & ~y).sum() <= 0.02 * (~y).sum()
+
+
+def test_toxicity_edges(docs, rows, spark, none):
+    lab = spark.createDataFrame([(r[0], k % 2) for k, r in enumerate(rows)] + [(4, None)], "doc_id bigint, toxic int")
+    got = toxicity.toxicity(docs, toxicity.fit(docs, lab)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 3 == 1) for r in got)
+    assert toxicity.fit(none, lab.limit(0)).score("x") < 0.5
+
+
+# --- mixing ---
+
+
+def test_mix(docs, rows, none):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    total = sum(r.size for r in got)
+    per = {}
+    for r in got:
+        t = per.setdefault(r.source, [r.source_size, r.target, 0, 0])
+        t[2] += r.taken
+        t[3] += r.size
+        assert 0 <= r.taken <= 2 * r.size
+    assert abs(sum(t[1] for t in per.values()) - 1.5 * total) < 1e-6 * total
+    want = dict(zip(sorted(per, key=lambda s: (s is None, s or "")), (5, 2, 1)))
+    fixed = {}
+    while True:  # reshare what is above the cap until nothing is
+        left = 1.5 * total - sum(fixed.values())
+        free = {s: left * w / sum(v for k, v in want.items() if k not in fixed) for s, w in want.items() if s not in fixed}
+        over = {s: 2.0 * per[s][0] for s, v in free.items() if v > 2 * per[s][0]}
+        if not over:
+            break
+        fixed |= over
+    for s, (size, target, taken, sum_size) in per.items():
+        assert sum_size == size and abs(target - ({**free, **fixed})[s]) < 1e-6 * total and target - 1 < taken <= target + 1e-9
+    assert mixing.mix_sources(none).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+
+
+# --- fingerprints ---
+
+
+def test_fingerprints(docs, rows, none):
+    got = iblt.fingerprints(docs, part_bytes=20_000).toPandas()
+    assert len(got) == len(rows)
+    unique = sorted((r for r in rows if r[0] is not None and sum(x[0] == r[0] for x in rows) == 1), key=lambda r: r[0])
+    by = got.set_index("doc_id")
+    jac = lambda a, b: (lambda x, y: 1.0 if not (x | y) else (x & y).total() / (x | y).total())(Counter(iblt.piece_digests(a).tolist()), Counter(iblt.piece_digests(b).tolist()))
+    for r, n in zip(unique, unique[1:]):
+        if n[0] != r[0] + 1 and r[0] in (4,):
+            continue
+        t, f = r[1] or "", n[1] or ""
+        e = iblt.edited(t, f)
+        assert len(e) <= len(t) and by.loc[r[0]].n_chars == len(t)
+        if r[0] == 4:  # its next id is repeated
+            continue
+        assert by.loc[r[0]].edited_sha256 == sha(e)
+        assert abs(by.loc[r[0]].near_edited - jac(t, e)) < 1e-12 and abs(by.loc[r[0]].near_next - jac(t, f)) < 1e-12
+    assert got.groupby("fingerprint").ngroups == len({r[1] or "" for r in rows} - {" \t\n "}) + 1
+    assert iblt.fingerprints(none).count() == 0
+
+
+def test_last_document_is_followed_by_the_first(spark):
+    rows = [(5, "first text here"), (9, "the middle one"), (12, "last of them all")]
+    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), part_bytes=8).collect()}
+    assert got[12].edited_sha256 == sha("last of them" + "firs") and got[5].edited_sha256 == sha("first text h" + "the")
+    one = iblt.fingerprints(spark.createDataFrame([(1, "just one")], "doc_id bigint, text string")).collect()[0]
+    assert one.near_next == 1.0 and one.edited_sha256 == sha("just o" + "ju")
+
+
+def test_peeling_recovers_the_difference():
+    rng = np.random.default_rng(0)
+    for n, d in ((50, 3), (1000, 400), (5000, 5000), (0, 0)):
+        common = rng.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = (np.concatenate((common, rng.integers(0, 2**63, d, dtype=np.uint64))) for _ in range(2))
+        x, y = iblt.differences([a], [b])
+        assert (x[0], y[0]) == (d, d)
+    a, b = rng.integers(0, 2**63, 5, dtype=np.uint64), rng.integers(0, 2**63, 4, dtype=np.uint64)
+    owner, keys, sign, whole = iblt.sketch([a], 96).subtract(np.array([0]), iblt.sketch([b], 96), np.array([0])).peel()
+    assert whole.all() and set(keys[sign > 0]) == set(a) and set(keys[sign < 0]) == set(b)
+
+
+# --- language model ---
+
+
+def test_lm_base_and_counts(docs, rows, none):
+    got = lm.lm_scores(docs, block_bytes=50_000).collect()
+    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
+    cls = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    c = Counter(w for r in rows if cls(r[0]) for w in tokens(r[1]))
+    n, v = sum(c.values()), len(c)
+    want = Counter((r[0], cls(r[0]) == 0, len(tokens(r[1])), sum(w in c for w in tokens(r[1])), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(r[1])), 4)) for r in rows)
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lm.lm_scores(none).count() == 0
+
+
+def test_lm_beats_its_base_held_out(spark):
+    got = queries.op7_lm(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
+def test_lm_probabilities_sum_to_one():
+    w = lm.learn_weights(np.array([[3, 4, 9, 50], [3, 0, 12, 20], [0, 0, 8, 5]], float), 1e-4)
+    assert np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0 and (w >= 0).all()
+
+
+# --- tokens ---
+
+
+def test_token_files(docs, rows, none, spark, sf):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    for table, data in ((docs, rows), (d := spark.read.parquet(f"{sf}/documents.parquet"), [(r.doc_id, r.text) for r in d.collect()])):
+        got = token_files.read_token_files(token_files.write_token_files(table, path, part_bytes=20_000, block_ids=500)).toPandas().sort_values("start")
+        ids = {}
+        for r in data:
+            ids.setdefault(r[0], []).append([*lib.encode(r[1] or "", add_special_tokens=False).ids, 2])
+        assert len(got) == len(data)
+        assert [None if np.isnan(i) else int(i) for i in got.doc_id] == sorted((r[0] for r in data), key=lambda i: (i is not None, i or 0))
+        assert got.start.tolist() == np.concatenate(([0], np.cumsum(got.n_tokens)[:-1])).tolist()
+        want = Counter((i, len(x), zlib.crc32(np.array(x, "<u4"))) for i, v in ids.items() for x in v)
+        assert Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_tokens, r.ids_crc32) for r in got.itertuples()) == want
+    assert token_files.read_token_files(token_files.write_token_files(none, path)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
+def test_bit_packing(bits):
+    rng = np.random.default_rng(bits)
+    docs = [rng.integers(0, 2**bits, n, dtype=np.uint64).astype("<u4") for n in (5, 0, 17, 1)]
+    block = token_files.write_block(docs, bits)
+    assert all((token_files.read_doc(block, k) == d).all() for k, d in enumerate(docs))
+    assert len(block) == 20 + 8 * 5 + -(-23 * bits // 8)
+    assert token_files.bit_width(49_408) == 16 and token_files.bit_width(32_000) == 15
+
+
+def test_byte_bpe(docs, rows, none, spark, sf):
+    import tiktoken
+
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=queries.split_pattern(), mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    for table, data in ((docs, rows), (d := spark.read.parquet(f"{sf}/documents.parquet"), [(r.doc_id, r.text) for r in d.collect()])):
+        got = byte_bpe.byte_bpe(table, path, queries.split_pattern(), block_chars=30_000, shards=3, keep_ids=True)
+        enc = [(r[0], lib.encode_ordinary(r[1] or ""), r[1] or "") for r in data]
+        assert bag(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, x, t in enc)
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == Counter((i, tuple(x)) for i, x, _ in enc)
+    assert byte_bpe.byte_bpe(none, path, queries.split_pattern()).count() == 0
