@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -81,11 +82,16 @@ class Model:
         return min(1.0, max(0.0, -math.expm1(rest)))
 
 
-def screened(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, z_least: float, max_features: int) -> dict[str, int]:
+def bag(text: str) -> list[set[str]]:
+    """The distinct words of each sentence."""
+    return [set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())] or [set()]
+
+
+def screened(texts: list[str], y: np.ndarray, min_docs: int, z_least: float, max_features: int) -> dict[str, int]:
     """Features of which documents of the two labels have significantly different shares, by the z of a two-sample test."""
     df, tox = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        own = {f for w in set().union(*bag) for f in features_of(w)}
+    for text, label in zip(texts, y):
+        own = {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
         df.update(own)
         if label:
             tox.update(own)
@@ -102,21 +108,20 @@ def screened(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, z_least:
 
 def train(texts: list[str], labels: list[int], min_docs: int = 8, z_least: float = 4.5, max_features: int = 50_000, rounds: int = 200, l2: float = 0.5, rate: float = 0.3) -> Model:
     """Full-batch Adagrad on the noisy-or likelihood over screened features."""
-    bags = [[set(WORD.findall(s)) for s in SENTENCE.findall(t.lower())] or [set()] for t in texts]
     y = np.array(labels, float)
     p = min(0.5, max(0.001, float(y.mean()) if len(y) else 0.001))
     if not 0 < y.sum() < len(y):
         return Model({}, math.log(p / (1 - p)))
-    vocab = screened(bags, y, min_docs, z_least, max_features)
-    word, sent, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    vocab = screened(texts, y, min_docs, z_least, max_features)
+    word, sent, doc = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in bag(text):
             found = [vocab[f] for w in s for f in features_of(w) if f in vocab]
-            word += found
-            sent += [len(doc)] * len(found)
+            word.extend(found)
+            sent.extend([len(doc)] * len(found))
             doc.append(d)
     word, sent, doc = np.array(word, int), np.array(sent, int), np.array(doc)
-    n_s, n_d = len(doc), len(bags)
+    n_s, n_d = len(doc), len(texts)
     w, b = np.zeros(len(vocab)), -5.0
     gw, gb = np.full(len(vocab), 1e-8), 1e-8
     for _ in range(rounds):
