@@ -8,9 +8,11 @@ from the others, and the weights then serve the counts of all.  A context not se
 No n-gram table is broadcast or collected.  Documents are read in blocks; a block sends its
 distinct words and word pairs, with its own training counts, to hash shards; a shard sums
 the counts of the whole corpus and answers each block with the totals of the keys it asked
-for.  What is shuffled is the distinct pairs of blocks, so hot words weigh no more than one
-per block.  Held-out evidence for the weights comes as a histogram with a bounded number of
-cells.  Words are 64-bit hashes of their bytes throughout.
+for, in the block's order of keys, which the block builds again when the answers come.  What
+is shuffled is the distinct pairs of blocks, so hot words weigh no more than one per block.
+Held-out evidence for the weights comes as a histogram with a bounded number of cells.
+Words are 61-bit hashes of their bytes throughout, pairs 52-bit hashes; docs must be a plan
+that repeats, such as a table scan.
 
 Null texts are empty: one token, the end.  Null ids hash as the empty text.
 """
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions
 
-END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
+WORD_BITS, PAIR_BITS = 61, 52
+END, BEGIN = np.uint64(0x1AE16A3B2F90404F), np.uint64(0x03A5C85C97CB3127)
 BUCKETS, BINS = 24, 64
 
 
@@ -48,11 +51,26 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit hash of an ordered pair; the top bit tells pairs (1) from words (0)."""
+    """Hash of an ordered pair of word hashes, of PAIR_BITS bits."""
     with np.errstate(over="ignore"):
         x = (u * np.uint64(0x9FB21C651E98DF25)) ^ ((w << np.uint64(31)) | (w >> np.uint64(33)))
         x = (x ^ (x >> np.uint64(28))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)
+        return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
+
+
+def shard_cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's stretch of the sorted keys begins and ends; shards are equal ranges of the hash space."""
+    edges = np.array([(k << bits) // shards for k in range(shards)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def counted(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs in part 0 and in part 1."""
+    both = np.sort(keys << np.uint64(2) | part.astype(np.uint64))
+    key, p = both >> np.uint64(2), both & np.uint64(3)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    sums = [np.add.reduceat((p == k).astype(np.int64), first).astype("<u4") if len(first) else np.empty(0, "<u4") for k in (0, 1)]
+    return key[first], *sums
 
 
 class _Words(dict):
@@ -62,6 +80,8 @@ class _Words(dict):
 
 
 class _Block:
+    """Some documents as codes of their words; split: 0 train, 1 set aside, 2 held out."""
+
     def __init__(self):
         self.words, self.ids, self.codes, self.split, self.bytes = _Words(), [], [], [], 0
 
@@ -73,46 +93,48 @@ class _Block:
         self.split.append(split)
         self.bytes += len(raw)
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        """tokens: position of each token's word in the sorted distinct words, and of its pair in the sorted distinct pairs; part: 0 train, 1 set aside, 2 held out, by document."""
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes in order (END and BEGIN among them), the number of each token's word there, and tokens by document."""
         import xxhash
 
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in self.words), np.uint64, len(self.words))
+        own = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - WORD_BITS) for w in self.words), np.uint64, len(self.words))
+        hashes = np.concatenate((own, [END, BEGIN]))
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         n = np.fromiter(map(len, self.codes), np.int64, len(self.codes)) + 1
         ends = np.cumsum(n)
-        token = np.empty(int(ends[-1]), np.uint64)
-        mask = np.ones(len(token), bool)
-        mask[ends - 1] = False
-        token[mask] = hashes[np.concatenate(self.codes)] if len(self.words) else np.empty(0, np.uint64)
-        token[ends - 1] = END >> np.uint64(1)
-        context = np.concatenate(([BEGIN >> np.uint64(1)], token[:-1]))
-        context[np.concatenate(([0], ends[:-1]))] = BEGIN >> np.uint64(1)
-        part = np.repeat(np.array(self.split, np.int8), n)
-        words, w_at = np.unique(np.concatenate((token, [BEGIN >> np.uint64(1)])), return_inverse=True)
-        w_at, u_at = w_at[:-1], np.searchsorted(words, context)
-        # pairs by the two positions: exact within the block
-        both = u_at.astype(np.int64) * len(words) + w_at
-        order = np.argsort(both, kind="stable")
-        new = np.concatenate(([True], both[order][1:] != both[order][:-1]))
-        pair_id = np.cumsum(new) - 1
-        p_at = np.empty(len(both), np.int64)
-        p_at[order] = pair_id
-        lead = order[new]
-        return {"n": n, "words": words, "w_at": w_at, "pairs": pair_key(words[u_at[lead]], words[w_at[lead]]), "pair_u": u_at[lead].astype(np.int32), "pair_w": w_at[lead].astype(np.int32), "p_at": p_at, "part": part, "begin": np.searchsorted(words, BEGIN >> np.uint64(1))}
-
-
-def _read(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, _Block]]:
+        token = np.empty(int(n.sum()), np.int32)
+        inside = np.ones(len(token), bool)
+        inside[ends - 1] = False
+        token[inside] = rank[np.concatenate(self.codes)] if self.codes else 0
+        token[ends - 1] = rank[-2]
+        return hashes[order], token, n
+
+
+def contexts(hashes: np.ndarray, token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The number of the word before each token; BEGIN at the start of a document."""
+    before = np.concatenate((token[:1], token[:-1]))
+    before[np.cumsum(n) - n] = np.searchsorted(hashes, BEGIN)
+    return before
+
+
+def _read(batches: Iterator[pa.RecordBatch], block_bytes: int, only_aside: bool = False) -> Iterator[tuple[int, _Block]]:
+    """The blocks of a partition, the same at each read; with only_aside, of their documents those set aside."""
     from pyspark import TaskContext
 
-    base, seq, block = TaskContext.get().partitionId() << 24, 0, None
+    base, seq, block, size = TaskContext.get().partitionId() << 24, 0, None, 0
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
             h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10
             block = block or _Block()
-            block.add(doc_id, text.as_py(), 2 if h == 0 else 1 if h == 1 else 0)
-            if block.bytes >= block_bytes:
+            text = text.as_py() or ""
+            size += len(text)
+            if not only_aside or h == 1:
+                block.add(doc_id, text, 2 if h == 0 else 1 if h == 1 else 0)
+            if size >= block_bytes:
                 yield base + seq, block
-                seq, block = seq + 1, None
+                seq, block, size = seq + 1, None, 0
     if block:
         yield base + seq, block
 
@@ -163,94 +185,120 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in _read(batches, block_bytes):
-            x = block.arrays()
-            part = x["part"]
-            count = lambda at, size, p: np.bincount(at[part == p], minlength=size).astype(np.uint32)
-            keys = np.concatenate((x["words"], x["pairs"]))
-            docs_in = [int((np.array(block.split) == p).sum()) for p in (0, 1)]
-            train, aside = (np.concatenate((count(x["w_at"], len(x["words"]), p), count(x["p_at"], len(x["pairs"]), p))) for p in (0, 1))
-            train[x["begin"]], aside[x["begin"]] = docs_in  # the beginning of a document is a context, not a token
-            shard = (keys % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((keys, shard))
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            held = {"ids": pa.array([block.ids], pa.list_(arrow_id)), "split": np.array(block.split, np.int8).tobytes(), "n": pack(x["n"]), "w_at": pack(x["w_at"].astype("<i4")), "p_at": pack(x["p_at"].astype("<i4")), "pair_u": pack(x["pair_u"]), "pair_w": pack(x["pair_w"]), "order": pack(order.astype("<i4"))}
-            none = pa.array([None], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([key], pa.int64()), none, none, none, held["ids"], *[pa.array([held[k]], pa.binary()) for k in HELD]], names=NAMES)
+            hashes, token, n = block.tokens()
+            part = np.repeat(np.array(block.split, np.int8), n)
+            begin = [np.array([(np.array(block.split) == p).sum()], "<u4") for p in (0, 1)]
+            words, *w_counts = counted(hashes[token], part)
+            at = int(np.searchsorted(words, BEGIN))  # a context once for each document, not a token
+            words, w_counts = np.insert(words, at, BEGIN), [np.insert(c, at, x) for c, x in zip(w_counts, begin)]
+            pairs, *p_counts = counted(pair_key(hashes[contexts(hashes, token, n)], hashes[token]), part)
+            w_cut, p_cut = shard_cuts(words, WORD_BITS, shards), shard_cuts(pairs, PAIR_BITS, shards)
             for s in range(shards):
-                own = order[cut[s] : cut[s + 1]]
-                steps = np.diff(keys[own], prepend=np.uint64(0))
-                empty = [pa.array([None], pa.list_(arrow_id)), *[none] * len(HELD)]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key], pa.int64()), *[pa.array([pack(v)], pa.binary()) for v in (steps, train[own], aside[own])], *empty], names=NAMES)
+                w, p = slice(w_cut[s], w_cut[s + 1]), slice(p_cut[s], p_cut[s + 1])
+                cells = [np.diff(words[w], prepend=np.uint64(0)), *[c[w] for c in w_counts], np.diff(pairs[p], prepend=np.uint64(0)), *[c[p] for c in p_counts]]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key], pa.int64()), *[pa.array([pack(c)], pa.binary()) for c in cells]], names=["shard", "block", *KEYS])
 
-    HELD = ["split", "n", "w_at", "p_at", "pair_u", "pair_w", "order"]
-    NAMES = ["shard", "block", "keys", "train", "aside", "ids", *HELD]
+    KEYS = ["words", "w_train", "w_aside", "pairs", "p_train", "p_aside"]
+    ANSWERS = ["w_train", "w_aside", "w_dev", "p_train", "p_aside", "p_dev"]
 
     def total(table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("block").to_pylist(), table.column("keys"), table.column("train"), table.column("aside")))
-        keys = [np.cumsum(unpack(r[1].as_py(), "<u8"), dtype=np.uint64) for r in rows]
-        every = np.concatenate(keys)
-        distinct, at = np.unique(every, return_inverse=True)
-        del every
-        sums = [np.bincount(at, np.concatenate([unpack(r[k].as_py(), "<u4") for r in rows]), len(distinct)).astype(np.uint32) for k in (2, 3)]
-        word = (distinct < np.uint64(1 << 63)) & (distinct != BEGIN >> np.uint64(1))
-        both = [int(s[word].sum(dtype=np.int64)) for s in sums]
-        known = int(((sums[0] + sums[1] > 0) & word).sum())
-        out, lo = [], 0
-        for r, k in zip(rows, keys):
-            own = at[lo : lo + len(k)]
-            lo += len(k)
-            out.append((int(table.column("shard")[0].as_py()), r[0], pack(sums[0][own]), pack(sums[1][own]), *both, known))
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "block", "train", "aside", "n_train", "n_aside", "n_words"])
-
-    asked = materialise(src.mapInArrow(ask, f"shard int, block bigint, keys binary, train binary, aside binary, ids array<{kind}>, " + ", ".join(f"{k} binary" for k in HELD)), "lm")
-    summed = asked.filter("shard >= 0").select("shard", "block", "keys", "train", "aside").groupBy("shard").applyInArrow(total, "shard int, block bigint, train binary, aside binary, n_train bigint, n_aside bigint, n_words bigint")
-    answered = materialise(summed, "lm")
-    n = answered.groupBy("shard").agg(*[F.first(c).alias(c) for c in ("n_train", "n_aside", "n_words")]).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_aside", "n_words")]).first()
+        """Sums over the corpus, for each block's keys in its order; and, of those the block has set aside, the training sums alone."""
+        blocks = table.column("block").to_pylist()
+        out: dict[str, list[bytes]] = {k: [] for k in ANSWERS}
+        facts = []
+        for kind_, name in (("w", "words"), ("p", "pairs")):
+            keys = [np.cumsum(unpack(v.as_py(), "<u8"), dtype=np.uint64) for v in table.column(name)]
+            every = np.concatenate(keys)
+            order = np.argsort(every)
+            ordered = every[order]
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(every) else np.empty(0, bool)
+            at = np.empty(len(every), np.int64)
+            at[order] = np.cumsum(new) - 1
+            asides = [unpack(v.as_py(), "<u4") for v in table.column(f"{kind_}_aside")]
+            train = np.bincount(at, np.concatenate([unpack(v.as_py(), "<u4") for v in table.column(f"{kind_}_train")])).astype("<u4")
+            aside = np.bincount(at, np.concatenate(asides)).astype("<u4")
+            if kind_ == "w":
+                word = ordered[new] != BEGIN
+                facts = [int(train[word].sum(dtype=np.int64)), int(aside[word].sum(dtype=np.int64)), int(((train + aside > 0) & word).sum())]
+            lo = 0
+            for k, a in zip(keys, asides):
+                own = at[lo : lo + len(k)]
+                lo += len(k)
+                for column, v in zip(("train", "aside", "dev"), (train[own], aside[own], train[own[a > 0]])):
+                    out[f"{kind_}_{column}"].append(pack(v))
+        n = len(blocks)
+        columns = [pa.array(table.column("shard").to_pylist(), pa.int32()), pa.array(blocks, pa.int64()), *[pa.array(out[k], pa.binary()) for k in ANSWERS], *[pa.array([f] * n, pa.int64()) for f in facts]]
+        return pa.table(columns, names=["shard", "block", *ANSWERS, "n_train", "n_aside", "n_words"])
+
+    def hold(only_aside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, block in _read(batches, block_bytes, only_aside):
+                hashes, token, n = block.tokens()
+                cells = [np.array(block.split, np.int8).tobytes(), pack(n), pack(np.diff(hashes, prepend=np.uint64(0))), pack(token)]
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block.ids], pa.list_(arrow_id)), *[pa.array([c], pa.binary()) for c in cells]], names=["block", "ids", "split", "n", "hashes", "token"])
+
+        return src.mapInArrow(run, f"block bigint, ids array<{kind}>, split binary, n binary, hashes binary, token binary").groupBy("block")
+
+    binary = lambda names: ", ".join(f"{k} binary" for k in names)
+    asked = src.mapInArrow(ask, f"shard int, block bigint, {binary(KEYS)}")
+    answers = materialise(asked.groupBy("shard").applyInArrow(total, f"shard int, block bigint, {binary(ANSWERS)}, n_train bigint, n_aside bigint, n_words bigint"), "lm")
+    n = answers.groupBy("shard").agg(*[F.first(c).alias(c) for c in ("n_train", "n_aside", "n_words")]).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_aside", "n_words")]).first()
     n_train, n_aside, n_words = (int(v) for v in n)
-    held = asked.filter("shard = -1").select("block", "ids", *HELD)
-    joined = lambda f, schema: held.groupBy("block").cogroup(answered.select("block", "shard", "train", "aside").groupBy("block")).applyInArrow(f, schema)
 
-    def counts(left: pa.Table, right: pa.Table) -> dict[str, np.ndarray]:
-        """Corpus counts (train, aside) of the block's words and pairs, in the block's own numbering."""
-        x = {k: unpack(left.column(k)[0].as_py(), t) for k, t in (("n", "<i8"), ("w_at", "<i4"), ("p_at", "<i4"), ("pair_u", "<i4"), ("pair_w", "<i4"), ("order", "<i4"))}
+    def tokens(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Tokens by document, each token's word and context as numbers of the block's words, each token's pair as number of the block's pairs; and how many pairs."""
+        get = lambda name, t: unpack(left.column(name)[0].as_py(), t)
+        count, hashes, token = get("n", "<i8"), np.cumsum(get("hashes", "<u8"), dtype=np.uint64), get("token", "<i4")
+        before = contexts(hashes, token, count) if len(token) else token
+        pairs = pair_key(hashes[before], hashes[token])
+        order = np.argsort(pairs)
+        new = np.concatenate(([True], pairs[order][1:] != pairs[order][:-1])) if len(pairs) else np.empty(0, bool)
+        pair = np.empty(len(pairs), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        # the block asked for the words it has; a word is numbered among those, BEGIN included
+        used = np.zeros(len(hashes), bool)
+        used[token] = True
+        used[np.searchsorted(hashes, BEGIN)] = True
+        number = np.cumsum(used) - 1
+        return count, number[token], number[before], pair, np.array([int(used.sum())]), int(new.sum())
+
+    def answered(right: pa.Table, name: str, size: int) -> np.ndarray:
         by = np.argsort(right.column("shard").to_numpy())
-        if len(by) != shards:
-            raise RuntimeError("a block lacks answers")
-        for k in ("train", "aside"):
-            got = np.empty(len(x["order"]), np.int64)
-            got[x["order"]] = np.concatenate([unpack(right.column(k)[int(s)].as_py(), "<u4") for s in by])
-            cut = len(got) - len(x["pair_u"])
-            x[f"{k}_w"], x[f"{k}_p"] = got[:cut], got[cut:]
-        x["split"] = np.frombuffer(left.column("split")[0].as_py(), np.int8)
-        return x
+        got = np.concatenate([unpack(right.column(name)[int(s)].as_py(), "<u4") for s in by]).astype(np.int64) if len(by) == shards else np.empty(0, np.int64)
+        if len(got) != size:
+            raise RuntimeError("the keys of a block differ between two reads of docs: materialise docs first")
+        return got
+
+    def joined(held, names: list[str], f, schema: str) -> DataFrame:
+        return held.cogroup(answers.select("block", "shard", *names).groupBy("block")).applyInArrow(f, schema)
 
     def evidence(left: pa.Table, right: pa.Table) -> pa.Table:
         """Histogram of the tokens set aside: context bucket, pair ratio, word ratio."""
-        x = counts(left, right)
-        aside = np.bincount(x["p_at"][np.repeat(x["split"], x["n"]) == 1], minlength=len(x["pair_u"]))
-        some = np.flatnonzero(aside)
-        c_u = x["train_w"][x["pair_u"][some]]
-        cell = (bucket(c_u) * BINS + log_bin(x["train_p"][some] / np.maximum(c_u, 1))) * BINS + log_bin(x["train_w"][x["pair_w"][some]] / max(n_train, 1))
-        k, at = np.unique(cell, return_inverse=True)
-        return pa.table([pa.array(k, pa.int64()), pa.array(np.bincount(at, aside[some], len(k)).astype(np.int64))], names=["cell", "n"])
-
-    cells = joined(evidence, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS * BINS^2 rows
+        count, w, u, pair, n_w, n_p = tokens(left)
+        if not len(w):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["cell", "n"])
+        c_w, c_p = answered(right, "w_dev", int(n_w[0])), answered(right, "p_dev", n_p)
+        cell = (bucket(c_w[u]) * BINS + log_bin(c_p[pair] / np.maximum(c_w[u], 1))) * BINS + log_bin(c_w[w] / max(n_train, 1))
+        k, many = np.unique(cell, return_counts=True)
+        return pa.table([pa.array(k, pa.int64()), pa.array(many.astype(np.int64))], names=["cell", "n"])
+
+    cells = joined(hold(True), ["w_dev", "p_dev"], evidence, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS * BINS^2 rows
     k = cells.column("cell").to_numpy()
     weights = learn_weights(np.stack([k // BINS**2, k // BINS % BINS, k % BINS, cells.column("n").to_numpy()], axis=1).astype(float), 1 / (n_words + 1))
     n_all = n_train + n_aside
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = counts(left, right)
-        c_w, c_p = x["train_w"] + x["aside_w"], x["train_p"] + x["aside_p"]
+        count, w, u, pair, n_w, n_p = tokens(left)
+        c_w, c_p = (answered(right, f"{k}_train", m) + answered(right, f"{k}_aside", m) for k, m in (("w", int(n_w[0])), ("p", n_p)))
         base = np.log10((c_w + 0.1) / (n_all + 0.1 * (n_words + 1)))
-        c_u = c_w[x["pair_u"]]
-        lam = weights[bucket(c_u)]
-        prob = np.log10(lam[:, 0] * c_p / np.maximum(c_u, 1) + lam[:, 1] * c_w[x["pair_w"]] / max(n_all, 1) + lam[:, 2] / (n_words + 1))
-        start = np.concatenate(([0], np.cumsum(x["n"])[:-1]))
+        lam = weights[bucket(c_w)]  # by context
+        prob = np.log10(lam[u, 0] * c_p[pair] / np.maximum(c_w[u], 1) + lam[u, 1] * c_w[w] / max(n_all, 1) + lam[u, 2] / (n_words + 1))
+        start = np.cumsum(count) - count
         sums = lambda v: np.add.reduceat(v, start)
+        split = np.frombuffer(left.column("split")[0].as_py(), np.int8)
         return pa.table(
-            [left.column("ids").combine_chunks().flatten(), pa.array(x["split"] == 2), pa.array(x["n"]), pa.array(sums((c_w > 0)[x["w_at"]].astype(np.int64))), pa.array(np.full(len(x["n"]), n_all)), pa.array(sums(base[x["w_at"]])), pa.array(sums(prob[x["p_at"]]))],
+            [left.column("ids").combine_chunks().flatten(), pa.array(split == 2), pa.array(count), pa.array(sums((c_w > 0)[w].astype(np.int64))), pa.array(np.full(len(count), n_all)), pa.array(sums(base[w])), pa.array(sums(prob))],
             names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return joined(score, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return joined(hold(False), ["w_train", "w_aside", "p_train", "p_aside"], score, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
