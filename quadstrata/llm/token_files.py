@@ -111,7 +111,8 @@ class _Encoder(dict):
         if not self.direct or piece > "" and max(piece) > "ɏ" or "<|" in piece:
             ids = np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            ids = b"".join([self.words.get(w) or self._word(w) for w in self.find(piece.lower())])
+            low = piece.lower()
+            ids = b"".join([self.words.get(w) or self._word(w) for w in ([low] if low.isalpha() else self.find(low))])
         if len(piece) <= 64:
             if len(self) >= self.room:
                 self.clear()
@@ -120,7 +121,7 @@ class _Encoder(dict):
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
-        ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
         if len(word) <= 64:
             if len(self.words) >= self.room:
                 self.words.clear()
@@ -177,7 +178,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: i
     return materialise(made, "tokens")
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
+def read_token_files(files: DataFrame, small_index: int = 200_000) -> DataFrame:
     """One row per document from the blocks: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian 32-bit)."""
     index = files.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -194,4 +195,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(offsets[:-1] + first), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    if files.count() <= small_index:  # 24 bytes a block; beyond that the join shuffles
+        starts = F.broadcast(starts)
     return files.join(starts, ["part", "block"]).select("ids", "first", "bytes").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
