@@ -1,0 +1 @@
+"""quadstrata: a tiled, layered store of map objects on Spark."""
