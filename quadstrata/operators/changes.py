@@ -6,6 +6,7 @@ object that isn't there is an upsert, a delete of one that isn't there does noth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,13 +46,14 @@ def parents_of(objects: DataFrame, moved_nodes: DataFrame) -> DataFrame:
     return way_refs(objects).join(moved_nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select(F.col("way_id").alias("id")).distinct()
 
 
-def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: int = 14) -> TiledDiff:
+def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: int = 14, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> TiledDiff:
     """objects and tiles (type, id, tile) before, and squashed changes -> the new layer.
 
     Level by level: changed nodes, then changed ways and those over a node whose tile
     changed, then changed relations and those over a changed member.  Edits of the change
     set win over parents that only follow; every parent's tiles are computed anew from
     the state after the change, so the state equals a bulk build of the final objects.
+    hold: what to do with tables of the change's size that are used more than once.
     """
     alive = changes.filter(F.col("op") != "delete")
     keys = changes.select("type", "id")
@@ -59,24 +61,24 @@ def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: i
     before = lambda k, ids: kind(tiles, k).join(ids, "id", "left_semi").select("id", "tile")
 
     n_ids = kind(keys, NODE).select("id")
-    n_new = node_tiles(kind(alive, NODE), zoom)
-    n_moved = _changed(before(NODE, n_ids), n_new)
+    n_new = hold(node_tiles(kind(alive, NODE), zoom))
+    n_moved = hold(_changed(before(NODE, n_ids), n_new))
     n_after = kind(tiles, NODE).select("id", "tile").join(n_ids, "id", "left_anti").union(n_new)
 
     w_ids = kind(keys, WAY).select("id")
-    w_follow = kind(objects, WAY).join(parents_of(objects, n_moved), "id", "left_semi").join(w_ids, "id", "left_anti").select(*OBJECT_COLUMNS)
+    w_follow = hold(kind(objects, WAY).join(parents_of(objects, n_moved), "id", "left_semi").join(w_ids, "id", "left_anti").select(*OBJECT_COLUMNS))
     w_all = kind(alive, WAY).select(*OBJECT_COLUMNS).union(w_follow)
-    w_new = way_tiles(way_refs(w_all), n_after)
+    w_new = hold(way_tiles(way_refs(w_all), n_after))
     w_touched = w_ids.union(w_follow.select("id")).distinct()
-    w_moved = _changed(before(WAY, w_touched), w_new)
+    w_moved = hold(_changed(before(WAY, w_touched), w_new))
     w_after = kind(tiles, WAY).select("id", "tile").join(w_touched, "id", "left_anti").union(w_new)
 
     r_ids = kind(keys, RELATION).select("id")
     moved = n_moved.select(F.lit(NODE).alias("member_type"), F.col("id").alias("member_id")).union(w_moved.select(F.lit(WAY).alias("member_type"), F.col("id").alias("member_id")))
     r_parents = member_refs(objects).join(moved, ["member_type", "member_id"], "left_semi").select(F.col("relation_id").alias("id")).distinct()
-    r_follow = kind(objects, RELATION).join(r_parents, "id", "left_semi").join(r_ids, "id", "left_anti").select(*OBJECT_COLUMNS)
+    r_follow = hold(kind(objects, RELATION).join(r_parents, "id", "left_semi").join(r_ids, "id", "left_anti").select(*OBJECT_COLUMNS))
     r_all = kind(alive, RELATION).select(*OBJECT_COLUMNS).union(r_follow)
-    r_new = relation_tiles(member_refs(r_all), n_after, w_after)
+    r_new = hold(relation_tiles(member_refs(r_all), n_after, w_after))
     r_touched = r_ids.union(r_follow.select("id")).distinct()
 
     written = kind(alive, NODE).select(*OBJECT_COLUMNS).union(w_all).union(r_all)

@@ -33,12 +33,12 @@ class View:
         self.chain = ly.chain(history.layers, head, smallest)
 
     def _union(self, table: str, schema: str, layers: list[Layer] | None = None) -> DataFrame:
-        spark = self.history.spark
-        return reduce(DataFrame.union, [spark.read.schema(schema).parquet(f"{x.path}/{table}").withColumn("layer_id", F.lit(x.id)) for x in layers or self.chain])
+        return self.history.spark.read.schema(f"{schema}, layer_id bigint").parquet(*[f"{x.path}/{table}" for x in layers or self.chain])
 
     def tile_log(self, layers: list[Layer] | None = None, tiles: list[int] | None = None) -> DataFrame:
         """layer_id, type, id, tile, version; with tiles, only their coarse partitions are read."""
-        log = self._union("tile_log", TILE_LOG + ", bucket int", layers)
+        read = self.history.spark.read.schema(f"{TILE_LOG}, layer_id bigint, bucket int")
+        log = reduce(DataFrame.union, [read.parquet(f"{x.path}/tile_log") for x in layers or self.chain])  # partitioned folders can't be read as one
         if tiles is not None:
             log = log.filter(F.col("bucket").isin(sorted({bucket_of(t, self.head.zoom) for t in tiles})) & F.col("tile").isin(tiles))
         return log.drop("bucket")
@@ -125,6 +125,7 @@ class View:
 class History:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.store = spark, path.rstrip("/"), Store(spark)
+        _guard(spark)
         self.layers = ly.load(self.store, self.path)
         if not self.layers:
             raise ValueError(f"no layers in {path}")
@@ -135,6 +136,7 @@ class History:
     def create(cls, spark: SparkSession, path: str, objects: DataFrame, timestamp=None, meta: dict | None = None, zoom: int = DEFAULT_ZOOM, keep: tuple[str, ...] = ()) -> "History":
         """A new history with one full layer."""
         store = Store(spark)
+        _guard(spark)
         store.make(path)
         if ly.load(store, path):
             raise ValueError(f"{path} has layers already")
@@ -209,8 +211,19 @@ class History:
         id_ = _layer_id(changes, timestamp)
         if id_ <= base.head.id:
             raise ValueError(f"a diff at {id_} isn't later than the latest layer, {base.head.id}")
-        diff = tiled_diff(base.scan(), base.tiled(), squash(changes), self.zoom)
-        return self._commit(diff, Layer(id_, "diff", base.head.id, self.zoom, meta or {}))
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            """Keep what has the size of a change set, so that it isn't computed once for each use."""
+            held.append(df.persist())
+            return held[-1]
+
+        try:
+            diff = tiled_diff(base.scan(), base.tiled(), hold(squash(changes)), self.zoom, hold)
+            return self._commit(diff, Layer(id_, "diff", base.head.id, self.zoom, meta or {}))
+        finally:
+            for df in held:
+                df.unpersist()
 
     def take_diff_snapshot(self, timestamp=None, span: int = 24 * 3600, meta: dict | None = None) -> Layer | None:
         """One diff in place of those within span seconds up to a moment; None if there are fewer than two."""
@@ -267,6 +280,11 @@ class History:
         return next(x for x in self.layers if x.name == layer.name)
 
 
+def _guard(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of equally partitioned inputs as partitioned like them, even where the adaptive planner then regroups some of them; windows and set operations above would see keys torn apart."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def _unix(moment) -> int:
     return moment if isinstance(moment, int) else to_unix(moment)
 
@@ -297,9 +315,10 @@ def _write_and_publish(spark: SparkSession, store: Store, path: str, diff: Tiled
     """Objects and keys in ranges of the key, tile rows by coarse tile; into a temporary folder, then published."""
     temp = f"{path}/_tmp_{uuid.uuid4().hex}"
     try:
-        diff.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{temp}/objects")
-        diff.keys.repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{temp}/key_log")
-        rows = diff.tiles.withColumn("bucket", tile_bucket(F.col("tile"), layer.zoom))
+        mark = lambda df: df.withColumn("layer_id", F.lit(layer.id).cast("long"))
+        mark(diff.objects).repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{temp}/objects")
+        mark(diff.keys).repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{temp}/key_log")
+        rows = mark(diff.tiles).withColumn("bucket", tile_bucket(F.col("tile"), layer.zoom))
         rows.repartitionByRange("bucket", "tile", "type", "id").sortWithinPartitions("bucket", "tile", "type", "id").write.partitionBy("bucket").parquet(f"{temp}/tile_log")
         if layer.kind == "snapshot":
             (empty if empty is not None else spark.createDataFrame([], "tile bigint")).select("tile").write.parquet(f"{temp}/empty_tile")
