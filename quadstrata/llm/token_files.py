@@ -120,7 +120,7 @@ class _Encoder(dict):
         return ids
 
     def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+        shown = word if word.isascii() and word.isprintable() else "".join(map(self.alphabet.__getitem__, word.encode()))
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
         if len(word) <= 64:
             if len(self.words) >= self.room:
@@ -147,8 +147,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _worker(path)
         for b in batches:
-            packed = [pack(np.frombuffer(enc.text(t.as_py() or "") + end, "<u4"), bits) for t in b.column(1)]
-            n = [len(p) * 8 // bits for p in packed]
+            coded = [np.frombuffer(enc.text(t.as_py() or "") + end, "<u4") for t in b.column(1)]
+            n, packed = [len(c) for c in coded], [pack(c, bits) for c in coded]
             yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0), cuts)), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["part", "id", "rid", "n", "packed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
