@@ -56,6 +56,38 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
+Ranges = tuple[tuple[int, int, str], ...]
+
+
+@functools.lru_cache(maxsize=1)
+def stand_ins() -> Ranges:
+    """Ranges of code points (end exclusive) whose class differs between the regex module and tiktoken's engine, as their Unicode versions do, each with a character of the class that tiktoken sees.
+
+    Found by asking both: an encoding with one token a byte returns just what its pattern matches.  Covers \\p{L} and
+    \\p{N}, the only versioned classes of the split pattern.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    byte = {bytes([k]): k for k in range(256)}
+    theirs = {p: set(bytes(tiktoken.Encoding("class", pat_str=p, mergeable_ranks=byte, special_tokens={}).encode_ordinary(every)).decode()) for p in (r"\p{L}", r"\p{N}")}
+    odd = set().union(*(theirs[p] ^ set(regex.findall(p, every)) for p in theirs))
+    found: list[tuple[int, int, str]] = []
+    for c in sorted(odd):
+        s = "a" if c in theirs[r"\p{L}"] else "0" if c in theirs[r"\p{N}"] else "!"
+        if found and found[-1][1:] == (ord(c), s):
+            found[-1] = (found[-1][0], ord(c) + 1, s)
+        else:
+            found.append((ord(c), ord(c) + 1, s))
+    return tuple(found)
+
+
+@functools.lru_cache(maxsize=1)
+def _translation(odd: Ranges) -> dict[int, str]:
+    return {c: s for a, b, s in odd for c in range(a, b)}
+
+
 class _Words(dict):
     """word -> code, in order of first occurrence."""
 
@@ -67,13 +99,18 @@ class _Words(dict):
 class _Pieces(dict):
     """A piece of text (white space, then the rest up to the next) -> its words' codes as bytes; no match of the pattern spans two pieces."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, odd: Ranges = ()):
         import regex
 
-        self.find, self.words = regex.compile(pattern).findall, _Words()
+        compiled = regex.compile(pattern)
+        self.find, self.spans, self.words = compiled.findall, compiled.finditer, _Words()
+        self.odd, self.first_odd = _translation(odd), chr(odd[0][0]) if odd else chr(0x10FFFF)
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.find(piece)
+        if not piece.isascii() and max(piece) >= self.first_odd and any(ord(c) in self.odd for c in piece):
+            found = [piece[m.start() : m.end()] for m in self.spans(piece.translate(self.odd))]
+        else:
+            found = self.find(piece)
         codes = np.array([self.words[w] for w in found], dtype="<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = codes
@@ -83,10 +120,10 @@ class _Pieces(dict):
 class _Block:
     """Some documents, their words and one code per word."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, odd: Ranges = ()):
         import re
 
-        self.pieces, self.cut = _Pieces(pattern), re.compile(PIECE).findall
+        self.pieces, self.cut = _Pieces(pattern, odd), re.compile(PIECE).findall
         self.ids: list = []
         self.codes: list[bytes] = []
         self.chars = 0
@@ -112,13 +149,13 @@ class _Block:
         return by_shard, final
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, _Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, odd: Ranges, block_chars: int) -> Iterator[tuple[int, _Block]]:
     from pyspark import TaskContext
 
     base, seq, block = TaskContext.get().partitionId() << 24, 0, None
     for b in batches:
         for doc_id, text in zip(b.column(0), b.column(1)):
-            block = block or _Block(pattern)
+            block = block or _Block(pattern, odd)
             block.add(doc_id.as_py(), text.as_py())
             if block.chars >= block_chars:
                 yield base + seq, block
@@ -140,16 +177,16 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     src = docs.select(id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
     arrow_id = src.limit(0).toArrow().schema.field(0).type
-    shards = shards or max(8, partitions(src))
+    shards, odd = shards or max(8, partitions(src)), stand_ins()
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in _blocks(batches, pattern, block_chars):
+        for key, block in _blocks(batches, pattern, odd, block_chars):
             by_shard, _ = block.numbered(shards)
             for s in range(shards):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key], pa.int64()), pa.array([by_shard[s]], pa.list_(pa.string()))], names=["shard", "block", "words"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in _blocks(batches, pattern, block_chars):
+        for key, block in _blocks(batches, pattern, odd, block_chars):
             by_shard, final = block.numbered(shards)
             n = [len(c) // 4 for c in block.codes]
             codes = final[np.frombuffer(b"".join(block.codes), "<u4")]

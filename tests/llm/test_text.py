@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -260,3 +261,28 @@ def test_byte_bpe(docs, rows, none, spark, sf):
         assert bag(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, x, t in enc)
         assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == Counter((i, tuple(x)) for i, x, _ in enc)
     assert byte_bpe.byte_bpe(none, path, queries.split_pattern()).count() == 0
+
+
+def noise(seed, extra):
+    """Short texts of any code points, white space and control characters among them."""
+    rnd = random.Random(seed)
+    one = lambda: rnd.choice([chr(rnd.randrange(0xD800)), chr(rnd.randrange(0xE000, 0x110000)), chr(rnd.randrange(0x250)), rnd.choice(" \t\n\x0b\x1c\x85\xa0 　"), rnd.choice("'sdtmlvreAB1 2.,-<|>"), rnd.choice(extra)])
+    return ["".join(one() for _ in range(rnd.randint(1, 14))) for _ in range(5000)]
+
+
+def test_token_files_encode_noise_as_the_library_does():
+    enc = token_files._Encoder(queries.tokenizer_path("word_bpe_49k.json"))
+    for t in noise(1, "\x00\x07\x7f\x9fİſ"):
+        assert np.frombuffer(enc.text(t), "<u4").tolist() == enc.lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_byte_bpe_splits_noise_as_the_library_does():
+    path, pattern, odd = queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.split_pattern(), byte_bpe.stand_ins()
+    lib = byte_bpe.encoding(path, pattern)
+    every = "".join(chr(c) for c in range(0x3001))
+    assert set(re.findall(f"[{byte_bpe.SPACE}]", every)) == {c for c in every if c.isspace()} - set("\x1c\x1d\x1e\x1f")
+    for t in noise(2, "".join(chr(c) for a, b, _ in odd for c in (a, b - 1)) or "a"):
+        block = byte_bpe._Block(pattern, odd)
+        block.add(1, t)
+        words = list(block.pieces.words)
+        assert [k for c in np.frombuffer(block.codes[0], "<u4") for k in lib._core_bpe.encode_single_piece(words[c].encode())] == lib.encode_ordinary(t), ascii(t)
