@@ -11,7 +11,8 @@ tells apart by label.  Scoring reads every whole text in one pass and shuffles n
 what it ships is the weights, at most ``max_features`` of them.
 
 Null and empty texts are a bag with no sentence and get the score of one clean
-sentence.  Rows without labels are scored like any other; null ids too.
+sentence.  Rows without labels are scored like any other; null ids too.  Of rows that
+repeat an id, training takes one, the text that sorts first.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % 3 != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
     sample = drawn[0].unionByName(drawn[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")  # the sample is bounded by its limits
+    once = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id that repeats trains once
+    rows = once.toArrow().sort_by("doc_id")  # the sample is bounded by its limits
     return train([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist(), **options)
 
 
