@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,8 @@ from ..functions.tiles import bucket_of, tile_bucket
 from ..functions.times import to_unix
 from ..operators import state
 from ..operators.changes import TiledDiff, squash, tiled_diff
-from ..operators.tiling import object_tiles, strip_metadata, valid, with_columns
-from ..schema import DEFAULT_ZOOM, KEY_LOG, OBJECT_COLUMNS, OBJECTS, TILE_LOG
+from ..operators.tiling import member_refs, object_tiles, strip_metadata, valid, way_refs, with_columns
+from ..schema import DEFAULT_ZOOM, KEY_LOG, NODE, OBJECT_COLUMNS, OBJECTS, RELATION, TILE_LOG, WAY
 from . import layers as ly
 from .files import Store
 from .layers import Layer
@@ -67,6 +68,28 @@ class View:
         """The tile rows of the head layer alone, tombstones included."""
         return self.tile_log([self.head])
 
+    def affected(self, changes: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Of the state, the objects and tile rows that a diff with these changes can depend on.
+
+        Parents are looked for in all versions of the payload, so that nothing of the state's size goes through a window;
+        those whose latest version has no changed member any more do no harm.  Each log is scanned once per level, against
+        tables of the change's size.
+        """
+        payload = self._union("objects", OBJECTS)
+        own = changes.select("type", "id").distinct()
+        nodes = own.filter(F.col("type") == NODE).select(F.col("id").alias("node_id"))
+        over_nodes = way_refs(payload).join(nodes, "node_id", "left_semi").select(F.lit(WAY).cast("tinyint").alias("type"), F.col("way_id").alias("id"))
+        below = settle(own.union(over_nodes).distinct())  # what a relation may follow
+        member = below.select(F.col("type").alias("member_type"), F.col("id").alias("member_id"))
+        over = member_refs(payload).join(member, ["member_type", "member_id"], "left_semi").select(F.lit(RELATION).cast("tinyint").alias("type"), F.col("relation_id").alias("id"))
+        keys = settle(below.union(over).distinct())
+        objects = settle(self._objects(keys))
+        both = objects.select(*OBJECT_COLUMNS).union(changes.select(*OBJECT_COLUMNS))
+        parts = way_refs(both).select(F.lit(NODE).cast("tinyint").alias("type"), F.col("node_id").alias("id")).union(member_refs(both).select(F.col("member_type").alias("type"), F.col("member_id").alias("id")))
+        needed = settle(keys.union(parts).distinct())
+        tiles = state.current_tiles(self.tile_log().join(needed, ["type", "id"], "left_semi"))
+        return objects, settle(tiles.select("type", "id", "tile", "version"))
+
     def get(self, keys: DataFrame) -> DataFrame:
         return self._objects(keys)
 
@@ -93,8 +116,6 @@ class View:
         own = state.current_tiles(self.tile_log(self._pruned([tile]), [tile])).select("type", "id")
         full = self._objects(own)
         every = own
-        from ..operators.tiling import member_refs, way_refs
-
         if ways:
             every = every.union(way_refs(full).select(F.lit(0).cast("tinyint").alias("type"), F.col("node_id").alias("id")))
         if relations:
@@ -211,19 +232,23 @@ class History:
         id_ = _layer_id(changes, timestamp)
         if id_ <= base.head.id:
             raise ValueError(f"a diff at {id_} isn't later than the latest layer, {base.head.id}")
-        held: list[DataFrame] = []
+        temp, held = f"{self.path}/_tmp_{uuid.uuid4().hex}", []
 
-        def hold(df: DataFrame) -> DataFrame:
-            """Keep what has the size of a change set, so that it isn't computed once for each use."""
-            held.append(df.persist())
-            return held[-1]
+        def settle(df: DataFrame) -> DataFrame:
+            """Write what has the size of a change set: it is computed once, and its size on disk tells the planner whether to broadcast it."""
+            place = f"{temp}/{len(held)}"
+            df.write.parquet(place)
+            held.append(place)
+            return self.spark.read.schema(df.schema).parquet(place)
 
         try:
-            diff = tiled_diff(base.scan(), base.tiled(), hold(squash(changes)), self.zoom, hold)
+            squashed = settle(squash(changes))
+            objects, tiles = base.affected(squashed, settle)
+            diff = tiled_diff(objects, tiles, squashed, self.zoom, settle)
             return self._commit(diff, Layer(id_, "diff", base.head.id, self.zoom, meta or {}))
         finally:
-            for df in held:
-                df.unpersist()
+            with contextlib.suppress(Exception):
+                self.store.remove(temp)
 
     def take_diff_snapshot(self, timestamp=None, span: int = 24 * 3600, meta: dict | None = None) -> Layer | None:
         """One diff in place of those within span seconds up to a moment; None if there are fewer than two."""
