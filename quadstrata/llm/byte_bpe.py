@@ -9,7 +9,8 @@ is shuffled is the distinct words of blocks and one small code per word, never a
 word's repeats, and a word found in every document weighs no more than one per block.
 Decoding joins the ids with the token-byte table of the ranks.
 
-The words of a block are numbered by shard, then first occurrence; a checksum for each
+The words of a block are numbered by shard, then first occurrence; shards of which it has
+no word get no row, so rows grow with words, not with blocks times shards.  A checksum for each
 shard makes sure that the answers belong to the codes (docs must be a plan that
 repeats, such as a table scan).
 
@@ -183,6 +184,8 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         for key, block in _blocks(batches, pattern, odd, block_chars):
             by_shard, _ = block.numbered(shards)
             for s in range(shards):
+                if not by_shard[s]:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key], pa.int64()), pa.array([by_shard[s]], pa.list_(pa.string()))], names=["shard", "block", "words"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
             codes = final[np.frombuffer(b"".join(block.codes), "<u4")]
             planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T  # equal bytes together: they compress
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.int64()), pa.array([block.ids], pa.list_(arrow_id)), pa.array([n], pa.list_(pa.int64())), pa.array([zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)], pa.binary()), pa.array([[_proof(w) for w in by_shard]], pa.list_(pa.int64()))],
+                [pa.array([key], pa.int64()), pa.array([block.ids], pa.list_(arrow_id)), pa.array([n], pa.list_(pa.int64())), pa.array([zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)], pa.binary()), pa.array([[_proof(w) for w in by_shard if w]], pa.list_(pa.int64()))],
                 names=["block", "ids", "n", "codes", "proofs"],
             )
 
@@ -214,13 +217,11 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor().decompress
-        answers = {s: k for k, s in enumerate(right.column("shard").to_pylist())}
-        proofs = left.column("proofs")[0].as_py()
-        if len(answers) != shards or any(right.column("proof")[answers[s]].as_py() != proofs[s] for s in range(shards)):
+        rows = np.argsort(right.column("shard").to_numpy()).tolist()
+        if [right.column("proof")[k].as_py() for k in rows] != left.column("proofs")[0].as_py():
             raise RuntimeError("the words of a block differ between two reads of docs: materialise docs first")
-        get = lambda name, s: np.frombuffer(unzip(right.column(name)[answers[s]].as_py()), "<u4")
-        lens = np.concatenate([get("lens", s) for s in range(shards)])
-        tokens = np.concatenate([get("tokens", s) for s in range(shards)])
+        get = lambda name: np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(unzip(right.column(name)[k].as_py()), "<u4") for k in rows]])
+        lens, tokens = get("lens"), get("tokens")
         ends = np.cumsum(lens, dtype=np.int64)
         starts = ends - lens
         table, as_list = token_bytes(path), tokens.tolist()
