@@ -31,19 +31,20 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_tree(runs: DataFrame, n_runs: int, fan_in: int = 8, shards: int = 16) -> DataFrame:
+def merge_tree(runs: DataFrame, n_runs: int, fan_in: int = 8, shards: int | None = None) -> DataFrame:
     """Distinct digests with their best row and number of copies, after all rounds."""
-    level = runs.withColumn("shard", F.conv(F.hex(F.substring("sha", 1, 1)), 16, 10).cast("int") % shards)
+    shards = shards or max(16, n_runs // 16)  # digests are far smaller than texts; the last round too has tasks in proportion
+    level = runs.withColumn("shard", F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long") % shards)
     level = level.groupBy("run", "shard", *KEY).agg(F.min(F.struct("neg", F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best"), F.count("*").alias("copies"))
     while n_runs > 1:
         n_runs = -(-n_runs // fan_in)
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        level = level.repartition(max(2, min(n_runs * shards, 4096)), "run", "shard").sortWithinPartitions("run", "shard", *KEY)
+        level = level.repartition(max(2, min(n_runs * shards, max(4096, shards))), "run", "shard").sortWithinPartitions("run", "shard", *KEY)
         level = level.groupBy("run", "shard", *KEY).agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
     return level
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, shards: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, shards: int | None = None) -> DataFrame:
     """One row per input row: rid, id, keep_id, group_size, kept, text_sha256."""
     runs = materialise(digests(docs, id_col, text_col), "exact")
     merged = merge_tree(runs, partitions(docs), fan_in, shards)
