@@ -207,6 +207,9 @@ def test_lm_base_and_counts(docs, rows, none):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.lm_scores(none).count() == 0
+    few = docs.filter("text is null or length(text) < 100")  # with more shards than keys, the same scores
+    one, many = (Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.lm_scores(few, block_bytes=100, shards=k).collect()) for k in (1, 997))
+    assert one == many
 
 
 def test_lm_beats_its_base_held_out(spark):
@@ -261,6 +264,9 @@ def test_byte_bpe(docs, rows, none, spark, sf):
         assert bag(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, x, t in enc)
         assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == Counter((i, tuple(x)) for i, x, _ in enc)
     assert byte_bpe.byte_bpe(none, path, queries.split_pattern()).count() == 0
+    few = docs.filter("text is null or length(text) < 100")  # far more shards than words, and blocks without any word
+    many = byte_bpe.byte_bpe(few, path, queries.split_pattern(), block_chars=1, shards=997)
+    assert bag(many, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, x, t in ((r[0], lib.encode_ordinary(r[1] or ""), r[1] or "") for r in rows if r[1] is None or len(r[1]) < 100))
 
 
 def noise(seed, extra):
