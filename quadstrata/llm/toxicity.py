@@ -1,9 +1,12 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's probability is a logistic function of
-its distinct words; the document's is their noisy-or, 1 - prod(1 - p).  Only documents
-are labelled; the gradient of the document's likelihood trains the word weights, and
-the trained sentence scores then locate the offending sentences.
+its distinct words; the document's is a noisy-or, 1 - prod(1 - p), of one background
+sentence and of what its ``STRONGEST`` distinct sentences have above the background.
+All sentences are read, but neither their number nor repeats move the score: a product
+over all of them tends to 1 with the length alone.  Only documents are labelled; the
+gradient of the document's likelihood trains the word weights, and the trained sentence
+scores then locate the offending sentences.
 
 Training: a bounded sample, at most ``max_toxic`` and ``max_clean`` labelled rows drawn by
 id hash, on the driver; features (words and their beginnings) that a significance test
@@ -17,6 +20,7 @@ repeat an id, training takes one, the text that sorts first.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from array import array
@@ -33,6 +37,7 @@ from .common import crc_of_id
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
+STRONGEST = 3
 
 
 class _Weights(dict):
@@ -71,21 +76,17 @@ class Model:
             yield m.start(), m.end(), 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def score(self, text: str) -> float:
-        """Noisy-or over the sentences."""
-        get, bias, clean, rest = self.weights.__getitem__, self.bias, 0, 0.0
-        for s in SENTENCE.findall(text.lower()):
-            z = sum(map(get, set(WORD.findall(s))))
-            if z == 0.0:
-                clean += 1
-            else:
-                rest -= math.log1p(math.exp(max(-30.0, min(30.0, bias + z))))  # log(1 - p)
-        rest -= max(clean, rest == 0.0) * math.log1p(math.exp(bias))
-        return min(1.0, max(0.0, -math.expm1(rest)))
+        """Noisy-or of the background and of what the strongest sentences have above it."""
+        get, bias = self.weights.__getitem__, self.bias
+        strong = heapq.nlargest(STRONGEST, (z for s in bag(text) if (z := sum(map(get, s))) > 0.0))
+        background = math.log1p(math.exp(bias))  # -log(1 - p)
+        rest = background + sum(math.log1p(math.exp(min(30.0, bias + z))) - background for z in strong)
+        return min(1.0, max(0.0, -math.expm1(-rest)))
 
 
-def bag(text: str) -> list[set[str]]:
-    """The distinct words of each sentence."""
-    return [set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())] or [set()]
+def bag(text: str) -> list[frozenset[str]]:
+    """The distinct words of each sentence; sentences of the same words count once."""
+    return list(dict.fromkeys(frozenset(WORD.findall(s)) for s in SENTENCE.findall(text.lower())))
 
 
 def screened(texts: list[str], y: np.ndarray, min_docs: int, z_least: float, max_features: int) -> dict[str, int]:
@@ -108,7 +109,7 @@ def screened(texts: list[str], y: np.ndarray, min_docs: int, z_least: float, max
 
 
 def train(texts: list[str], labels: list[int], min_docs: int = 8, z_least: float = 4.5, max_features: int = 50_000, rounds: int = 200, l2: float = 0.5, rate: float = 0.3) -> Model:
-    """Full-batch Adagrad on the noisy-or likelihood over screened features."""
+    """Full-batch Adagrad on the noisy-or likelihood over screened features; sentences without any are background."""
     y = np.array(labels, float)
     p = min(0.5, max(0.001, float(y.mean()) if len(y) else 0.001))
     if not 0 < y.sum() < len(y):
@@ -118,21 +119,27 @@ def train(texts: list[str], labels: list[int], min_docs: int = 8, z_least: float
     for d, text in enumerate(texts):
         for s in bag(text):
             found = [vocab[f] for w in s for f in features_of(w) if f in vocab]
-            word.extend(found)
-            sent.extend([len(doc)] * len(found))
-            doc.append(d)
-    word, sent, doc = np.array(word, int), np.array(sent, int), np.array(doc)
+            if found:
+                word.extend(found)
+                sent.extend([len(doc)] * len(found))
+                doc.append(d)
+    word, sent, doc = np.array(word, int), np.array(sent, int), np.array(doc, int)
     n_s, n_d = len(doc), len(texts)
     w, b = np.zeros(len(vocab)), -5.0
     gw, gb = np.full(len(vocab), 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.clip(b + np.bincount(sent, w[word], n_s), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n_d))  # the chance that no sentence is toxic
+        above = np.bincount(sent, w[word], n_s)
+        order = np.lexsort((-above, doc))
+        place = np.empty(n_s, int)
+        place[order] = np.arange(n_s) - np.searchsorted(doc, doc)  # within the document, strongest first
+        on = (above >= 0) & (place < STRONGEST)
+        p, p0 = (1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (b + above, b))
+        least = np.log1p(-p0)
+        clean = np.exp(least + np.bincount(doc, np.where(on, np.log1p(-np.minimum(p, 1 - 1e-12)) - least, 0.0), n_d))  # the chance that no sentence is toxic
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        g = pull[doc] * p
+        g = pull[doc] * np.where(on, p, 0.0)
         dw = (np.bincount(word, g[sent], len(w)) + l2 * w) / n_d
-        db = g.sum() / n_d
+        db = (g - pull[doc] * np.where(on, p0, 0.0)).sum() / n_d + p0 * pull.sum() / n_d
         gw += dw * dw
         gb += db * db
         w -= rate * dw / np.sqrt(gw)

@@ -105,6 +105,18 @@ def test_noisy_or_finds_sentences(none):
     assert toxicity.toxicity(none, m).count() == 0 and toxicity.keep_clean(none, m).columns == none.columns
 
 
+def test_length_alone_is_not_toxic():
+    clean = [f"the house number {k} is blue. we walk home." for k in range(200)]
+    m = toxicity.train(clean + [f"{t} you are a rotten fool." for t in clean], [0] * 200 + [1] * 200)
+    assert m.score((clean[0] + " ") * 10_000) == m.score(clean[0]) < 0.7
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choices("bdgklmnr", k=7))
+    long = " ".join(f"{word()} {word()}." for _ in range(50_000))  # no sentence twice
+    assert m.score(long) < 0.7 and m.score(long + " you are a rotten fool.") >= 0.7
+    weak = toxicity.Model({f"{word()}": 2.0 for _ in range(20_000)}, -6.0)  # much weak evidence is none
+    assert weak.score(". ".join(weak.weights.features)) < 0.7
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op2_toxicity(spark, sf).join(queries.labels(spark, sf), "doc_id").filter("held_out").toPandas()
