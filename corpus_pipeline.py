@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadstrata.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from quadstrata.llm import byte_bpe, exact_dedup, mixing, near_copies, toxicity
 from quadstrata.llm.common import documents, materialise
 from quadstrata.llm.queries import labels, split_pattern, tokenizer_path
 
@@ -21,8 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each class of near copies stays, that with the smallest id: five-word shingles, similarity 0.8 or more."""
+    return near_copies.keep_one(docs, width=5, least=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,20 +34,24 @@ SEED = 42
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The SimHash of one text, as an unsigned integer."""
+    h = shingles(text, width)
+    return majority(h) if len(h) else 0
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the shingles in their order; none of a text without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
-    return majority(h)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
 
 
 def majority(h: np.ndarray) -> int:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from quadstrata.llm import exact_dedup, graph, simhash
+from quadstrata.llm import exact_dedup, graph, near_copies, simhash
 
 norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
 
@@ -109,6 +109,25 @@ def test_trie_dense_group_is_not_paired():
     assert len(simhash.trie_links(fp, simhash.blocks(64, 4))) == len(fp) - 1
 
 
+def test_near_copies_against_all_pairs(spark, docs, rows, none, tmp_path):
+    rng = np.random.default_rng(11)
+    data, words = list(rows), [f"w{k}" for k in range(3000)]
+    for g in range(40):  # one or a few words of a hundred replaced: similarity about 0.5 to 0.9
+        base = rng.choice(words, 100)
+        for k in range(3):
+            w = base.copy()
+            w[rng.choice(100, k * (1 + g % 3), replace=False)] = f"edit{g}"
+            data.append((1000 + 3 * g + k, " ".join(w), "en", "s1", None, "r", "s", "p", "b"))
+    table = docs.unionByName(spark.createDataFrame(data[len(rows) :], docs.schema))
+    table.write.parquet(path := str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(path)
+    sets = [frozenset(simhash.shingles(r[1], 5).tolist()) for r in data]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if not (sets[a] or sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    lab = classes(pairs, len(sets))
+    got = near_copies.near_copies(table)
+    assert got.filter("not keeper").count() == len(data) - len(set(lab))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
