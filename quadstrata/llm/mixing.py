@@ -77,6 +77,13 @@ def mix_sources(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, w
     return whole.unionByName(cut).select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
+def whole_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix in whole texts: each document taken / size times, rounded up, so a source exceeds its target by less than one text; documents without words don't appear."""
+    taken = mix_sources(docs, **options).filter("taken > 0").select("rid", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = numbered(docs).join(taken, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select("doc.*")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as taken / size says, the one at the budget's edge cut after the words that fit; documents without words don't appear."""
     taken = mix_sources(docs, **options).filter("taken > 0").select("rid", "size", "taken")

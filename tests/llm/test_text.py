@@ -163,6 +163,15 @@ def test_mix(docs, rows, none):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
+def test_pipeline_mixes_whole_texts(spark, docs, rows, sf):
+    import corpus_pipeline
+
+    taken = mixing.mix_sources(docs).filter("taken > 0").collect()
+    got = corpus_pipeline.mix(spark, docs, sf).collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in got} <= {(r[0], r[1], r[4]) for r in rows}
+    assert len(got) == sum(-(-r.taken // r.size) for r in taken) and any(r.taken % r.size for r in taken)
+
+
 # --- fingerprints ---
 
 
