@@ -30,7 +30,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+#: May take in words after the number; more_spans tries each end at a word's end.
+IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "card_loose": 0.4, "us_ssn": 0.4}
 CONTEXT = {
@@ -90,10 +92,17 @@ def base_spans(text: str) -> list[Span]:
 def more_spans(text: str) -> list[Span]:
     """Proposals of the further kinds that pass their validators."""
     out: list[Span] = []
+    end = 0
     for m in IBAN.finditer(text):
-        v = m[0].replace(" ", "")
-        if 15 <= len(v) <= 34 and mod97(v):
-            out.append((m.start(), m.end(), "iban"))
+        rest = IBAN_REST.match(text, m.end()) if m.start() >= end else None
+        stop = rest.end() if rest else -1
+        while stop > m.end():  # the longest that passes
+            v, after = text[m.start() : stop].replace(" ", ""), text[stop : stop + 1]
+            if 15 <= len(v) <= 34 and not (after.isascii() and after.isalnum()) and mod97(v):
+                out.append((m.start(), stop, "iban"))
+                end = stop
+                break
+            stop = text.rfind(" ", m.end(), stop)
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and len(d := only_digits(m[0])) == 13 and luhn(d):
             out.append((m.start(), m.end(), "card_loose"))

@@ -91,6 +91,13 @@ def test_pii_validators_and_context():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000 + ".") == []
 
 
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "BR97 0036 0305 0000 1000 9795 493P 1"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " 2024 paid", " GB82 WEST 1234 5698 7654 32", "\n"])
+def test_iban_with_words_after_it(iban, after):
+    found = [s for s in pii.more_spans(f"IBAN {iban}{after}") if s[2] == "iban"]
+    assert found[0] == (5, 5 + len(iban), "iban") and len(found) == 1 + ("GB82" in after)
+
+
 # --- toxicity ---
 
 
