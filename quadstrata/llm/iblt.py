@@ -178,7 +178,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     low = docs.agg(F.max(F.col(id_col).isNull()), F.min(id_col)).first()
     firsts = np.unique(np.concatenate((cuts, np.array([] if low[1] is None else [low[1]], np.int64))))
-    has_null, top = bool(low[0]), len(cuts)
+    has_null, top = bool(low[0]), -1 if low[1] is None else len(cuts)  # top: the last part that has rows
     src = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("rid"))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lead = null if has_null else (ids == low[1]) & ~null  # may be the first row of all
             head = np.isin(ids, firsts) & ~null  # may be the first of its part
             back = np.concatenate((np.flatnonzero(head), np.flatnonzero(lead)))
-            before = np.concatenate((part[head] - 1, np.full(int(lead.sum()), top)))
+            before = np.concatenate((np.where(ids[head] == low[1], -1, part[head] - 1), np.full(int(lead.sum()), top)))
             again = np.concatenate((np.zeros(len(part), np.int32), np.ones(int(head.sum()), np.int32), np.full(int(lead.sum()), 2, np.int32)))
             rows = pa.array(np.concatenate((np.arange(len(part)), back)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, before))), pa.array(again), b.column(0).take(rows), b.column(2).take(rows), pa.array(data, pa.binary()).take(rows)], names=["part", "again", "id", "rid", "data"])

@@ -210,6 +210,13 @@ def test_last_document_is_followed_by_the_first(spark):
     assert one.near_next == 1.0 and one.edited_sha256 == sha("just o" + "ju")
 
 
+def test_last_null_id_keeps_its_row(spark):
+    for ids in ([None, None], [None, None, *[4] * 30, 9]):  # no id at all; the smallest id is the first bound too
+        data = [(i, f"text {k} of these") for k, i in enumerate(ids)]
+        got = iblt.fingerprints(spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1), part_bytes=100).collect()
+        assert Counter(r.doc_id for r in got) == Counter(ids)
+
+
 def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(0)
     for n, d in ((50, 3), (1000, 400), (5000, 5000), (0, 0)):
