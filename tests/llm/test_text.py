@@ -242,11 +242,61 @@ def test_lm_base_and_counts(docs, rows, none):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.lm_scores(none).count() == 0
-    few = docs.filter("text is null or length(text) < 100")  # with more shards than keys, the same scores
-    one, many = (Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.lm_scores(few, block_bytes=100, shards=k).collect()) for k in (1, 997))
+    few = docs.filter("text is null or length(text) < 100")  # one level or several, the same scores
+    one, many = (Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.lm_scores(few, block_bytes=1500, fan=k).collect()) for k in (1000, 3))
     assert one == many
 
 
+def brute_lm(rows):
+    """Scores from dictionaries: counts, the histogram of what is set aside, EM, then every token's probability."""
+    cls = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 for r in rows]
+    toks = [["<s>", *re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), "</s>"] for r in rows]
+    count = lambda part, f: Counter(x for t, k in zip(toks, cls) if part(k) for x in f(t))
+    words, heads, pairs = lambda t: t[1:], lambda t: t, lambda t: zip(t, t[1:])
+    est, both = (lambda k: k > 1), (lambda k: k > 0)
+    c1, h1, p1 = count(est, words), count(est, heads), count(est, pairs)
+    c, h, p = count(both, words), count(both, heads), count(both, pairs)
+    n1, n, v = sum(c1.values()), sum(c.values()), len(c)
+    one = lambda f, x: int(f(np.array([x]))[0])
+    cells = Counter()
+    for t, k in zip(toks, cls):
+        for u, w in zip(t, t[1:]) if k == 1 else ():
+            cells[(one(lm.bucket, h1[u]), one(lm.log_bin, p1[u, w] / max(h1[u], 1)), one(lm.log_bin, c1[w] / max(n1, 1)))] += 1
+    lam = lm.learn_weights(np.array([[*k, m] for k, m in sorted(cells.items())], float).reshape(-1, 4), 1 / (v + 1))
+    out = []
+    for r, t in zip(rows, toks):
+        total = 0.0
+        for u, w in zip(t, t[1:]):
+            a, b, d = lam[one(lm.bucket, h[u])]
+            total += math.log10(a * p[u, w] / max(h[u], 1) + b * c[w] / max(n, 1) + d / (v + 1))
+        out.append((r[0], total))
+    return out
+
+
+def test_lm_score_against_dictionaries(spark, docs, rows, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for table, data in ((docs, rows), (d, [(r.doc_id, r.text) for r in d.collect()])):
+        got = sorted(((key(r.doc_id), r.score) for r in lm.lm_scores(table, block_bytes=40_000, fan=4).collect()))
+        want = sorted((key(i), x) for i, x in brute_lm(data))
+        assert len(got) == len(want) and all(a == b and abs(x - y) < 1e-6 * max(1, abs(y)) for (a, x), (b, y) in zip(got, want))
+
+
+def test_lm_counts_beyond_32_bits():
+    many = 5_000_000_000
+    keys, at, (train, aside) = lm.merge([np.array([3, 9], np.uint64), np.array([9], np.uint64)], [[np.array([1, many]), np.array([many])], [np.array([0, 1]), np.array([2**40])]])
+    assert keys.tolist() == [3, 9] and at.tolist() == [0, 1, 1] and train.tolist() == [1, 2 * many] and aside.tolist() == [0, 2**40 + 1]
+    rows = list(lm._asked(7, 0, 4, 0, 4, {"w": (keys, [train, aside]), "p": (keys, [train, aside])}))
+    node = lm._Node(lm._asked_table(rows))
+    assert node.facts() == [1 + 2 * many, 2**40 + 1, 2]
+    back = node.answers({k: v[1] for k, v in node.data.items()}, node.facts())
+    assert lm._in_order(back, "w_train").tolist() == [1, 2 * many] and lm._in_order(back, "p_aside").tolist() == [0, 2**40 + 1]
+
+
+def test_lm_many_empty_rows(spark):
+    got = lm.lm_scores(spark.range(200_000).selectExpr("id as doc_id", "cast(null as string) as text"), block_bytes=1 << 22)
+    assert got.filter("n_tokens = 1").count() == 200_000
+
+
 def test_lm_beats_its_base_held_out(spark):
     got = queries.op7_lm(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
