@@ -38,11 +38,27 @@ WORD_BITS, PAIR_BITS = 61, 52
 END, BEGIN = np.uint64(0x1AE16A3B2F90404F), np.uint64(0x03A5C85C97CB3127)
 BUCKETS, BINS = 24, 64
 #: Children of a node of the exchange.
-FAN = 32
+FAN = 128
 #: What a document costs beside its characters.
 ROW_BYTES = 256
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as hold the greatest, 8 at most."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    x = narrow(x)
+    return bytes([x.dtype.itemsize]) + pack(x)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    """As narrow as they were packed."""
+    return unpack(memoryview(data)[1:], {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[data[0]])
+
+
 def pack(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, then zstd."""
     import zstandard
@@ -96,7 +112,7 @@ def merge(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.nd
     at = np.empty(len(every), np.int64)
     at[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    return ordered[new], at, [np.add.reduceat(np.concatenate(c)[order], first) if len(first) else np.empty(0, np.int64) for c in counts]
+    return ordered[new], at, [np.add.reduceat(np.concatenate(c)[order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64) for c in counts]
 
 
 class _Words(dict):
@@ -216,8 +232,8 @@ def _asked(child: int, parent: int, ranges: int, first: int, fan: int, data: dic
     for s in range(fan):
         own = {k: slice(cut[k][s], cut[k][s + 1]) for k in cut}
         if any(v.start < v.stop for v in own.values()):
-            cells = [c for k in cut for c in (np.diff(data[k][0][own[k]], prepend=np.uint64(0)), *[x[own[k]] for x in data[k][1]])]
-            yield [parent, first + s, child, *map(pack, cells)]
+            cells = [c for k in cut for c in (pack(np.diff(data[k][0][own[k]], prepend=np.uint64(0))), *[pack_counts(x[own[k]]) for x in data[k][1]])]
+            yield [parent, first + s, child, *cells]
 
 
 def _table(rows: list[list], schema: list[str], binary_from: int, binary_to: int) -> pa.Table:
@@ -236,7 +252,7 @@ class _Node:
         self.table, self.keys, self.data, self.at = table, {}, {}, {}
         for k, name, _ in WHAT:
             self.keys[k] = [np.cumsum(unpack(v.as_py(), "<u8"), dtype=np.uint64) for v in table.column(name)]
-            distinct, self.at[k], sums = merge(self.keys[k], [[unpack(v.as_py(), "<i8") for v in table.column(f"{k}_{c}")] for c in ("train", "aside")])
+            distinct, self.at[k], sums = merge(self.keys[k], [[unpack_counts(v.as_py()) for v in table.column(f"{k}_{c}")] for c in ("train", "aside")])
             self.data[k] = (distinct, sums)
 
     def facts(self) -> list[int]:
@@ -255,15 +271,15 @@ class _Node:
                 own = self.at[k][at[k] : at[k] + n]
                 at[k] += n
                 train, aside = (t[own] for t in totals[k])
-                has = unpack(self.table.column(f"{k}_aside")[row].as_py(), "<i8") > 0
-                cells += [pack(train), pack(aside), pack(train[has])]
+                has = unpack_counts(self.table.column(f"{k}_aside")[row].as_py()) > 0
+                cells += [pack_counts(train), pack_counts(aside), pack_counts(train[has])]
             out.append([self.table.column("child")[row].as_py(), self.table.column("rng")[row].as_py(), *cells, *facts])
         return _table(out, ["owner", "rng", *ANSWERS, *FACTS], 2, 8)
 
 
 def _in_order(right: pa.Table, name: str) -> np.ndarray:
     by = np.argsort(right.column("rng").to_numpy())
-    return np.concatenate([np.empty(0, np.int64), *[unpack(right.column(name)[int(s)].as_py(), "<i8") for s in by]])
+    return np.concatenate([unpack_counts(right.column(name)[int(s)].as_py()) for s in by] or [np.empty(0, np.int64)])
 
 
 def _upwards(level: int, fan: int):
@@ -301,7 +317,7 @@ def corpus_counts(asked: DataFrame, blocks: int, fan: int) -> tuple[DataFrame, t
     return answers, tuple(int(v) for v in facts)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 25, fan: int = FAN) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 24, fan: int = FAN) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     src = docs.select(id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
@@ -355,7 +371,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return count, number[token], number[before], pair, int(used.sum()), int(new.sum())
 
     def answered(right: pa.Table, name: str, size: int) -> np.ndarray:
-        got = _in_order(right, name)
+        got = _in_order(right, name).astype(np.int64)
         if len(got) != size:
             raise RuntimeError("the totals of a block don't fit its keys")
         return got

@@ -243,7 +243,7 @@ def test_lm_base_and_counts(docs, rows, none):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.lm_scores(none).count() == 0
     few = docs.filter("text is null or length(text) < 100")  # one level or several, the same scores
-    one, many = (Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.lm_scores(few, block_bytes=1500, fan=k).collect()) for k in (1000, 3))
+    one, many = (Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.lm_scores(few, block_bytes=1500, fan=k).collect()) for k in (1000, 3))  # fan
     assert one == many
 
 
