@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,21 +17,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint folder set on the context, else one in the warehouse; a folder of this machine would not do."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = found.get() if found.isDefined() else None
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="quadstrata-")
-        spark.sparkContext.setCheckpointDir(place)
+        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quadstrata"
     return place.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back; cuts the lineage and fixes generated row numbers."""
+    """Write df once to the shared folder and read it back; cuts the lineage and fixes generated row numbers.
+
+    The files go when the application ends, or earlier by ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +54,20 @@ def partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: str, by: str, most: int = 1_000_000) -> DataFrame:
+    """left join right on key, right having one row for each key and, in its column rows, how many rows of left have it.
+
+    A key of more than ``most`` rows is split by a hash of the column ``by`` into parts of about that many, and its row of
+    right copied to each.  The adaptive planner doesn't split such a key where right is an aggregate right below the join.
+    What is broadcast is the keys to split, of which there are at most the rows of left / most.
+    """
+    parts = F.ceil(F.col(rows) / most).cast("int")
+    split = right.filter(F.col(rows) > most).select(key, parts.alias("_parts"))
+    l = left.join(F.broadcast(split), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    r = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return l.join(r, [key, "_part"]).drop("_part")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import join_spread, materialise, without
 from .graph import components
 from .simhash import link_edges, majority, shingles
 
@@ -92,8 +92,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, budget: int
     pairs = materialise(candidates(marked, budget), "nearpairs")
     roots = components(verified(docs, pairs, width, least, text_col))
     grouped = roots.select(F.col("node").alias("rid"), "root").join(marked.select("rid", "id"), "rid")
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best"))
-    return grouped.join(best, "root").select("rid", F.col("id").alias(id_col), "root", (F.col("rid") == F.col("best.rid")).alias("keeper"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best"), F.count("*").alias("n"))
+    return join_spread(grouped, best, "root", "n", "rid").select("rid", F.col("id").alias(id_col), "root", (F.col("rid") == F.col("best.rid")).alias("keeper"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Each text is scanned for base kinds (assign, access, hex) and for further candidates
 (prefixed, key, token).  The hashes of all candidate values are then counted over the
-whole corpus: in how many repositories (documents) and for how many owners (sources)
-each occurs.  A value that many owners share is an example that was copied; one that
-a single owner has, in few repositories, looks live.  Further candidates become spans
-only if they look live; base spans always stay.
+whole corpus: for how many owners (sources) each occurs and in how many repositories
+(documents, exact copies of a text being one).  A value that ``copied_owners`` or more
+share is an example that was copied; one that a single owner has, in few repositories,
+looks live; what lies between is shared.  All three are counted for each document; of
+the further candidates those that are copied don't become spans, base spans always stay.
+A private key is taken whole, to its END line, and hashed without its white space.
 
 Counting is two aggregations, distinct (hash, owner, repository) and then by hash, each
-combined map-side; the verdict on a hash is joined back to the documents that hold it,
-so a hot value is split by the join, and no hash table is collected or broadcast.
+combined map-side; the verdict on a hash goes back to the documents that hold it, where a
+hot hash is split in parts by document (``join_spread``).  No table of hashes is collected.
 
-Null texts are empty texts; a null owner is one owner.
+Null texts are empty texts; a null owner is one owner; null ids are kept.  Repeated rows have
+a row each and are one repository.  Texts of any length are scanned whole, in time linear in
+them.  An empty table gives no row.  Columns other than id, owner and text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_spread, materialise
 from .spans import Span, joined, sha256
 
 BASE = ("assign", "access", "hex")
@@ -38,6 +42,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PREFIXED = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
 KEY = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+#: What follows the header: a body up to the END line; without one, runs of 16 or more characters.
+KEY_BODY = re.compile(r"((?:[A-Za-z0-9+/=\s]|\\[nr])*+)-----END [A-Z ]{0,30}PRIVATE KEY-----")
+KEY_RUNS = re.compile(r"((?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+)")
+KEY_SPACE = re.compile(r"\s|\\[nr]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}")
 
 
@@ -59,7 +67,9 @@ def scan(text: str) -> tuple[list[Span], list[tuple[int, int, str, str]]]:
     if any(p in text for p in ("gh", "sk_live_", "xox", "AIza")):
         found += [(m.start(), m.end(), "prefixed", m[0]) for m in PREFIXED.finditer(text)]
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "key", text[m.start() : m.end() + 200]) for m in KEY.finditer(text)]
+        for m in KEY.finditer(text):
+            body = KEY_BODY.match(text, m.end()) or KEY_RUNS.match(text, m.end())
+            found.append((m.start(), body.end(), "key", KEY_SPACE.sub("", body[1]) or m[0]))
     for m in TOKEN.finditer(text):
         v = m[0]
         if any(c.isdigit() for c in v) and v.lower() != v != v.upper() and entropy(v) >= 4.0 and not any(a < m.end() and m.start() < b for a, b, _ in base):
@@ -67,11 +77,14 @@ def scan(text: str) -> tuple[list[Span], list[tuple[int, int, str, str]]]:
     return base, found
 
 
-def secrets(docs: DataFrame, owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text", copied_owners: int = 3, live_repositories: int = 8) -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, max_owners.
+def secrets(docs: DataFrame, owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text", copied_owners: int = 3, live_repositories: int = 8, most: int = 1_000_000) -> DataFrame:
+    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_copied, max_owners.
 
-    A value held by copied_owners or more owners is copied; one of a single owner in at most live_repositories repositories looks live.
+    A value held by copied_owners or more owners is copied; one of a single owner in at most live_repositories repositories
+    looks live.  most: rows of one hash in a task, about.
     """
+    import xxhash
+
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.monotonically_increasing_id().alias("rid"), id_col, F.col(owner_col).cast("string").alias("owner"), text_col)
     struct = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("hash", pa.string())])
@@ -79,30 +92,34 @@ def secrets(docs: DataFrame, owner_col: str = "source", id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[str, list[int]] = {k: [] for k in BASE}
-            sha, cands = [], []
+            sha, cands, repositories = [], [], []
             for t in b.column(3):
-                base, found = scan(t.as_py() or "")
+                text = t.as_py() or ""
+                base, found = scan(text)
                 for k in BASE:
                     n[k].append(sum(s[2] == k for s in base))
                 sha.append(sha256(joined(base, ORDER)))
                 cands.append([{"start": a, "end": e, "kind": k, "hash": sha256(v)} for a, e, k, v in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(n[k], pa.int64()) for k in BASE], pa.array(sha, pa.string()), pa.array(cands, pa.list_(struct))], names=["rid", id_col, "owner", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
-
-    found = materialise(src.mapInArrow(run, f"rid bigint, `{id_col}` {kind}, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, cands array<struct<start:bigint,end:bigint,kind:string,hash:string>>"), "secrets")
-    each = found.select("rid", "owner", F.explode("cands").alias("c")).select("rid", "owner", "c.*")
-    held = each.select("hash", "owner", "rid").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    owned = held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
-    judged = each.drop("owner").join(owned, "hash")
+                repositories.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if found else 0)
+            columns = [*b.columns[:3], *[pa.array(n[k], pa.int64()) for k in BASE], pa.array(sha, pa.string()), pa.array(repositories, pa.int64()), pa.array(cands, pa.list_(struct))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", id_col, "owner", "n_assign", "n_access", "n_hex", "base_sha256", "repository", "cands"])
+
+    found = materialise(src.mapInArrow(run, f"rid bigint, `{id_col}` {kind}, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, repository bigint, cands array<struct<start:bigint,end:bigint,kind:string,hash:string>>"), "secrets")
+    each = found.select("rid", "owner", "repository", F.explode("cands").alias("c")).select("rid", "owner", "repository", "c.*")
+    held = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    owned = materialise(held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n")), "secretowners")
+    judged = join_spread(each.drop("owner", "repository"), owned, "hash", "n", "rid", most)
     live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= live_repositories)
-    judged = judged.filter(F.col("kind").isin(*BASE) | live)
+    copied = F.col("n_owners") >= copied_owners
     rank = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, ORDER[k])]), F.col("kind"))
     per = judged.groupBy("rid").agg(
-        F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("all"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").isin(*BASE) | ~copied, F.struct("start", rank.alias("rank"), "end", "kind")))).alias("all"),
         F.sum(live.cast("long")).alias("n_live"),
-        F.sum((F.col("n_owners") >= copied_owners).cast("long")).alias("n_copied"),
+        F.sum((~live & ~copied).cast("long")).alias("n_shared"),
+        F.sum(copied.cast("long")).alias("n_copied"),
         F.max("n_owners").alias("max_owners"),
     )
     text = F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    per = per.select("rid", text.alias("spans"), "n_live", "n_copied", "max_owners")
+    per = per.select("rid", text.alias("spans"), "n_live", "n_shared", "n_copied", "max_owners")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return found.drop("cands", "owner").join(per, "rid", "left").select(id_col, "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), zero("max_owners"))
+    return found.drop("cands", "owner", "repository").join(per, "rid", "left").select(id_col, "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_shared"), zero("n_copied"), zero("max_owners"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import join_spread, materialise, without
 from .graph import components
 
 SEED = 42
@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(marked.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "rid")).alias("best")), "fpclass")
     roots = components(link_edges(classes.select("fp"), budget)).withColumnRenamed("node", "fp")
     grouped = materialise(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best"), "fproot")
-    best = grouped.groupBy("root").agg(F.min("best").alias("first"))
-    names = grouped.join(best, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.rid").alias("first_rid"))
+    best = grouped.groupBy("root").agg(F.min("best").alias("first"), F.count("*").alias("n"))
+    names = join_spread(grouped, best, "root", "n", "fp").select("fp", F.col("first.id").alias("component_id"), F.col("first.rid").alias("first_rid"))
     return marked.join(names, "fp").select("rid", id_col, "fp", "component_id", (F.col("rid") == F.col("first_rid")).alias("keeper"))
 
 

@@ -132,4 +132,7 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{k: 0 for k in range(51)}, 100: 100, 200: 100, 150: 100}
+    star = [(0, k) for k in range(1, 200)] + [(k, k + 1000) for k in range(1, 200)]
+    got = graph.components(spark.createDataFrame(star, "a bigint, b bigint"), most=10).collect()  # the hot node in parts
+    assert len(got) == 399 and all(r.root == 0 for r in got)
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
