@@ -1,20 +1,18 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-A word is a match of the split pattern.  The texts of a partition are cut into blocks
-of at most ``block_chars`` characters.  A block sends each of its distinct words once,
-grouped by word hash into shards; a shard encodes every distinct word of the corpus
-once and answers each block; the answers meet the block's positions (one code per word
-of the text, in order), and the documents are put together again by position.  So what
-is shuffled is the distinct words of blocks and one small code per word, never a
-word's repeats, and a word found in every document weighs no more than one per block.
-Decoding joins the ids with the token-byte table of the ranks.
-
-The words of a block are numbered by shard, then first occurrence; shards of which it has
-no word get no row, so rows grow with words, not with blocks times shards.  A checksum for each
-shard makes sure that the answers belong to the codes (docs must be a plan that
-repeats, such as a table scan).
-
-Null texts are empty texts; they have no ids.  Null ids are kept.
+A word is a match of the split pattern.  The texts of a partition are cut into blocks, read
+once: a block is its distinct words and its positions (one code per word of the text, in
+order), and is exchanged once, by block.  From that exchange its distinct words go out as
+plain rows (block, code, word), one hash exchange by word; sorted by word, each distinct word
+of the corpus is encoded once, and its ids go back to the blocks that have it, where the
+documents are put together again by position.  So rows grow with the distinct words of blocks,
+a word's repeats are never shuffled, and one found in every document is one row per block.
+Decoding joins the ids with the token-byte table of the ranks, in the worker, since that table
+has the size of the vocabulary whatever the corpus.
+
+Null texts are empty texts; they have no ids.  Null ids are kept; repeated rows have a row each.
+Texts of any length stay whole, as one block if need be; a block is bounded in characters and in
+rows.  An empty table gives no row.  Only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -135,19 +133,21 @@ class _Block:
         self.codes.append(b"".join(map(self.pieces.__getitem__, self.cut(text))))
         self.chars += len(text)
 
-    def numbered(self, shards: int) -> tuple[list[list[str]], np.ndarray]:
-        """Words by shard; final code by code."""
-        import xxhash
+    def packed(self) -> tuple[list[str], list[int], bytes]:
+        """Distinct words, commonest first; words by document; every word's code in order, as packed bytes."""
+        import zstandard
 
+        codes = np.frombuffer(b"".join(self.codes), "<u4")
         words = list(self.pieces.words)
-        shard = np.fromiter((xxhash.xxh64_intdigest(w.encode()) % shards for w in words), np.int64, len(words))
-        order = np.argsort(shard, kind="stable")
-        final = np.empty(len(words), np.uint32)
-        final[order] = np.arange(len(words), dtype=np.uint32)
-        by_shard: list[list[str]] = [[] for _ in range(shards)]
-        for w, s in zip(words, shard.tolist()):
-            by_shard[s].append(w)
-        return by_shard, final
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        final = np.empty(len(words), "<u4")
+        final[order] = np.arange(len(words), dtype="<u4")  # small codes for common words: they compress
+        planes = final[codes].view(np.uint8).reshape(-1, 4).T  # equal bytes together, likewise
+        return [words[k] for k in order.tolist()], [len(c) // 4 for c in self.codes], zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+#: What a document costs beside its characters.
+ROW_CHARS = 256
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, odd: Ranges, block_chars: int) -> Iterator[tuple[int, _Block]]:
@@ -158,71 +158,68 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, odd: Ranges, block_
         for doc_id, text in zip(b.column(0), b.column(1)):
             block = block or _Block(pattern, odd)
             block.add(doc_id.as_py(), text.as_py())
-            if block.chars >= block_chars:
+            if block.chars + ROW_CHARS * len(block.ids) >= block_chars:
                 yield base + seq, block
                 seq, block = seq + 1, None
     if block:
         yield base + seq, block
 
 
-def _proof(words: list[str]) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest("\x00".join(words).encode()) >> 1
-
-
-def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 25, shards: int | None = None, keep_ids: bool = False) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 25, keep_ids: bool = False, batch_words: int = 1 << 16) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids."""
     import zstandard
 
     src = docs.select(id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
     arrow_id = src.limit(0).toArrow().schema.field(0).type
-    shards, odd = shards or max(8, partitions(src)), stand_ins()
+    odd = stand_ins()
 
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in _blocks(batches, pattern, odd, block_chars):
-            by_shard, _ = block.numbered(shards)
-            for s in range(shards):
-                if not by_shard[s]:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([key], pa.int64()), pa.array([by_shard[s]], pa.list_(pa.string()))], names=["shard", "block", "words"])
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in _blocks(batches, pattern, odd, block_chars):
-            by_shard, final = block.numbered(shards)
-            n = [len(c) // 4 for c in block.codes]
-            codes = final[np.frombuffer(b"".join(block.codes), "<u4")]
-            planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T  # equal bytes together: they compress
+            words, n, codes = block.packed()
+            raw = [w.encode() for w in words]
+            lens = np.fromiter(map(len, raw), "<u4", len(raw)).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.int64()), pa.array([block.ids], pa.list_(arrow_id)), pa.array([n], pa.list_(pa.int64())), pa.array([zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)], pa.binary()), pa.array([[_proof(w) for w in by_shard if w]], pa.list_(pa.int64()))],
-                names=["block", "ids", "n", "codes", "proofs"],
+                [pa.array([key], pa.int64()), pa.array([block.ids], pa.list_(arrow_id)), pa.array([n], pa.list_(pa.int64())), *[pa.array([c], pa.binary()) for c in (codes, zstandard.compress(lens, 1), zstandard.compress(b"".join(raw), 1))]],
+                names=["block", "ids", "n", "codes", "lens", "words"],
             )
 
-    def encode(table: pa.Table) -> pa.Table:
-        single, seen = encoding(path, pattern)._core_bpe.encode_single_piece, {}
-        out = []
-        for s, key, words in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), table.column("words")):
-            words = words.as_py()
-            for w in words:
-                if w not in seen:
-                    seen[w] = np.array(single(w.encode()), dtype="<u4").tobytes()
-            got = [seen[w] for w in words]
-            lens = np.fromiter(map(len, got), "<u4", len(got)) // 4
-            out.append((key, s, _proof(words), zstandard.compress(lens.astype("<u4").tobytes(), 1), zstandard.compress(b"".join(got), 1)))
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "shard", "proof", "lens", "tokens"])
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """block, code, word."""
+        unzip = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for key, lens, words in zip(b.column("block").to_pylist(), b.column("lens"), b.column("words")):
+                lens = np.frombuffer(unzip(lens.as_py()), "<u4")
+                ends = np.concatenate(([0], np.cumsum(lens))).astype("<i4")
+                every = pa.Array.from_buffers(pa.string(), len(lens), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(unzip(words.as_py()))])
+                for k in range(0, len(lens), batch_words):
+                    part = every.slice(k, batch_words)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), part], names=["block", "code", "word"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal words follow each other: each is encoded once."""
+        single, last, ids = encoding(path, pattern)._core_bpe.encode_single_piece, None, b""
+        for b in batches:
+            out = []
+            for w in b.column("word").to_pylist():
+                if w != last:
+                    last, ids = w, np.array(single(w.encode()), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("code"), pa.array(out, pa.binary())], names=["block", "code", "tokens"])
 
     fields = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor().decompress
-        rows = np.argsort(right.column("shard").to_numpy()).tolist()
-        if [right.column("proof")[k].as_py() for k in rows] != left.column("proofs")[0].as_py():
-            raise RuntimeError("the words of a block differ between two reads of docs: materialise docs first")
-        get = lambda name: np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(unzip(right.column(name)[k].as_py()), "<u4") for k in rows]])
-        lens, tokens = get("lens"), get("tokens")
-        ends = np.cumsum(lens, dtype=np.int64)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(left.column("codes")[0].as_py()), np.uint8)
+        codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+        order = np.argsort(right.column("code").to_numpy()) if right.num_rows else np.empty(0, np.int64)
+        if len(codes) and int(codes.max()) + 1 != len(order):
+            raise RuntimeError("a block's words aren't all encoded")
+        got = right.column("tokens").take(pa.array(order)).to_pylist()
+        lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        tokens = np.frombuffer(b"".join(got), "<u4")
+        ends = np.cumsum(lens)
         starts = ends - lens
         table, as_list = token_bytes(path), tokens.tolist()
         digits, decoded = [], []
@@ -230,10 +227,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
             own = as_list[i:j]
             digits.append(" ".join(map(str, own)).encode())
             decoded.append(b"".join([table[k] for k in own]))
-        raw = np.frombuffer(unzip(left.column("codes")[0].as_py()), np.uint8)
-        codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-        n = np.array(left.column("n")[0].as_py(), np.int64)
-        cut = np.concatenate(([0], np.cumsum(n)))
+        cut = np.concatenate(([0], np.cumsum(np.array(left.column("n")[0].as_py(), np.int64))))
         n_tokens, sha_ids, sha_text, ids = [], [], [], []
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
             own = codes[i:j]
@@ -247,6 +241,9 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         cols = [doc_ids, pa.array(n_tokens, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
         return pa.table(cols + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names=names)
 
-    answers = src.mapInArrow(requests, "shard int, block bigint, words array<string>").groupBy("shard").applyInArrow(encode, "block bigint, shard int, proof bigint, lens binary, tokens binary")
-    held = src.mapInArrow(positions, f"block bigint, ids array<{kind}>, n array<bigint>, codes binary, proofs array<bigint>")
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, fields)
+    parts = max(partitions(src), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = src.mapInArrow(read, f"block bigint, ids array<{kind}>, n array<bigint>, codes binary, lens binary, words binary").repartition(parts, "block")
+    # both uses of blocks take all its columns, so that they share one exchange
+    words = blocks.mapInArrow(distinct, "block bigint, code int, word string").repartition(parts, "word").sortWithinPartitions("word")
+    answers = words.mapInArrow(encode, "block bigint, code int, tokens binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, fields)
