@@ -142,14 +142,22 @@ class _Block:
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         final = np.empty(len(words), "<u4")
         final[order] = np.arange(len(words), dtype="<u4")  # small codes for common words: they compress
-        planes = final[codes].view(np.uint8).reshape(-1, 4).T  # equal bytes together, likewise
-        return [words[k] for k in order.tolist()], [len(c) // 4 for c in self.codes], zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+        return [words[k] for k in order.tolist()], [len(c) // 4 for c in self.codes], zstandard.compress(planes(final[codes]), 1)
 
 
 #: What a document costs beside its characters.
 ROW_CHARS = 256
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with bytes of equal weight together, so that they compress, here or in the exchange."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, odd: Ranges, block_chars: int) -> Iterator[tuple[int, _Block]]:
     from pyspark import TaskContext
 
@@ -165,7 +173,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, odd: Ranges, block_
         yield base + seq, block
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 25, keep_ids: bool = False, batch_words: int = 1 << 16) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 25, keep_ids: bool = False, batch_words: int = 1 << 16, answer_words: int = 1 << 19) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids."""
     import zstandard
 
@@ -197,29 +205,47 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), part], names=["block", "code", "word"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal words follow each other: each is encoded once."""
-        single, last, ids = encoding(path, pattern)._core_bpe.encode_single_piece, None, b""
+        """Equal words follow each other: each is encoded once.  Answers go out together by block, after every answer_words of them."""
+        enc = encoding(path, pattern)
+        single, wide, last, ids = enc._core_bpe.encode_single_piece, "<u2" if enc.n_vocab <= 1 << 16 else "<u4", None, b""
+        block, code, out = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            owner, codes = np.concatenate(block), np.concatenate(code)
+            order = np.lexsort((codes, owner))
+            owner, codes = owner[order], codes[order]
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            rows = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(owner)]):
+                own = [out[k] for k in order[i:j].tolist()]
+                rows.append((planes(np.diff(codes[i:j], prepend=0)), planes(np.fromiter(map(len, own), np.int64, j - i) // int(wide[2])), np.frombuffer(b"".join(own), wide).astype("<u4")))
+            return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([planes(r[2]) for r in rows], pa.binary())], names=["block", "codes", "lens", "tokens"])
+
         for b in batches:
-            out = []
             for w in b.column("word").to_pylist():
                 if w != last:
-                    last, ids = w, np.array(single(w.encode()), "<u4").tobytes()
+                    last, ids = w, np.array(single(w.encode()), wide).tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("code"), pa.array(out, pa.binary())], names=["block", "code", "tokens"])
+            block.append(b.column("block").to_numpy())
+            code.append(b.column("code").to_numpy())
+            if len(out) >= answer_words:
+                yield flush()
+                block, code, out = [], [], []
+        if out:
+            yield flush()
 
     fields = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(left.column("codes")[0].as_py()), np.uint8)
-        codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-        order = np.argsort(right.column("code").to_numpy()) if right.num_rows else np.empty(0, np.int64)
+        codes = from_planes(zstandard.ZstdDecompressor().decompress(left.column("codes")[0].as_py()))
+        got = {k: [from_planes(v.as_py()) for v in right.column(k)] for k in ("codes", "lens", "tokens")}
+        order = np.argsort(np.concatenate([np.empty(0, np.int64), *map(np.cumsum, got["codes"])]))
         if len(codes) and int(codes.max()) + 1 != len(order):
             raise RuntimeError("a block's words aren't all encoded")
-        got = right.column("tokens").take(pa.array(order)).to_pylist()
-        lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        tokens = np.frombuffer(b"".join(got), "<u4")
-        ends = np.cumsum(lens)
+        lens, tokens = (np.concatenate([np.empty(0, np.uint32), *got[k]]) for k in ("lens", "tokens"))
+        ends = np.cumsum(lens, dtype=np.int64)[order]
+        lens = lens[order].astype(np.int64)
         starts = ends - lens
         table, as_list = token_bytes(path), tokens.tolist()
         digits, decoded = [], []
@@ -245,5 +271,5 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     blocks = src.mapInArrow(read, f"block bigint, ids array<{kind}>, n array<bigint>, codes binary, lens binary, words binary").repartition(parts, "block")
     # both uses of blocks take all its columns, so that they share one exchange
     words = blocks.mapInArrow(distinct, "block bigint, code int, word string").repartition(parts, "word").sortWithinPartitions("word")
-    answers = words.mapInArrow(encode, "block bigint, code int, tokens binary")
+    answers = words.mapInArrow(encode, "block bigint, codes binary, lens binary, tokens binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, fields)

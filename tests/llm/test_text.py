@@ -387,7 +387,7 @@ def test_byte_bpe(docs, rows, none, spark, sf):
     path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
     lib = tiktoken.Encoding("own", pat_str=queries.split_pattern(), mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
     for table, data in ((docs, rows), (d := spark.read.parquet(f"{sf}/documents.parquet"), [(r.doc_id, r.text) for r in d.collect()])):
-        got = byte_bpe.byte_bpe(table, path, queries.split_pattern(), block_chars=30_000, batch_words=1000, keep_ids=True)
+        got = byte_bpe.byte_bpe(table, path, queries.split_pattern(), block_chars=30_000, batch_words=1000, answer_words=3000, keep_ids=True)
         enc = [(r[0], lib.encode_ordinary(r[1] or ""), r[1] or "") for r in data]
         assert bag(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, x, t in enc)
         assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == Counter((i, tuple(x)) for i, x, _ in enc)
