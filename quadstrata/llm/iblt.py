@@ -1,17 +1,22 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph pieces.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraphs and their pieces.
 
-A text's lines are cut into pieces of ``piece_words`` words, so that one-line texts have
-pieces too; the digest of a piece is a hash of its bytes and of how often it came before
-in the text, so repeats count.  A sketch has cells in three equal parts; each digest is
-added to one cell of each part: a count, the xor of digests and the xor of check hashes.
+A text's paragraphs are its lines.  Each gives a digest, and each longer than ``piece_words``
+words also the digests of its pieces of so many words, so that a change inside a long paragraph,
+or a one-line text, shows as a change of part.  A digest is a hash of the bytes and of how often
+they came before in the text, so repeats count.  A sketch has cells in three equal parts; each
+digest is added to one cell of each part: a count, the xor of digests and the xor of check hashes.
 Two sketches subtract cell by cell, then peeling recovers the digests that only one side
 has: a cell with one digest left gives it away and it is taken out of its other cells.
 Where peeling gets stuck, the pair is tried again with sketches four times as large,
 built anew from the digests, until it succeeds.  Likeness is shared over all digests.
 
-All pairs of a batch are sketched and peeled together, in array operations.
+All pairs of a batch, bounded in characters and rows, are sketched and peeled together, in array
+operations.
 
-Empty texts have an empty sketch and are alike; null texts count as empty.
+Empty texts have an empty sketch and are alike; null texts count as empty.  Ids may be of any
+sortable type; null ids come first, repeated ids in the order read.  Texts of any length stay whole.
+An empty table gives no row; the next of a single row is itself.  Only the id and the text column
+are read.
 """
 
 from __future__ import annotations
@@ -22,33 +27,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .ordered import bounds, in_order, part_of
+from .ordered import cuts, in_order, lowest, with_row_numbers
 
 BASE_CELLS = 24
 GROWTH = 4
+#: A sketch with so many cells for each digest peels, if any does.
+ROOM = 64
+#: What a document costs beside its characters.
+ROW_CHARS = 512
 
 
 def piece_digests(text: str, piece_words: int = 5) -> np.ndarray:
+    """Digests of the paragraphs and of the pieces of long ones; each once."""
     import xxhash
 
-    digest, pieces = xxhash.xxh64_intdigest, []
+    digest, pieces, whole = xxhash.xxh64_intdigest, [], []
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         words = line.split(b" ")
         if len(words) <= piece_words:
             if line:
                 pieces.append(line)
         else:
+            whole.append(line)
             pieces += [b" ".join(words[k : k + piece_words]) for k in range(0, len(words), piece_words)]
-    if len(set(pieces)) == len(pieces):
-        return np.fromiter(map(digest, pieces), np.uint64, len(pieces))
-    seen: dict[bytes, int] = {}
     out = []
-    for p in pieces:
-        n = seen[p] = seen.get(p, -1) + 1
-        out.append(digest(p, n))
-    return np.array(out, np.uint64)
+    for units, kind in ((pieces, 0), (whole, 1)):
+        if len(set(units)) == len(units):
+            out += [digest(u, kind) for u in units]
+        else:
+            seen: dict[bytes, int] = {}
+            for u in units:
+                n = seen[u] = seen.get(u, -1) + 1
+                out.append(digest(u, 2 * n + kind))
+    return np.unique(np.array(out, np.uint64))
 
 
 def mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -139,6 +151,12 @@ def differences(a: list[np.ndarray], b: list[np.ndarray], base_a: Sketches | Non
     only_a, only_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
     todo, m, level = np.arange(n), base_cells, 0
     while len(todo):
+        stuck = np.array([m > ROOM * (len(a[k]) + len(b[k])) + 4096 for k in todo])  # digests that no sketch tells apart
+        for k in todo[stuck]:
+            only_a[k], only_b[k] = len(np.setdiff1d(a[k], b[k])), len(np.setdiff1d(b[k], a[k]))
+        todo = todo[~stuck]
+        if not len(todo):
+            break
         if level == 0 and base_a is not None:
             diff = base_a.subtract(todo, base_b, todo)
         else:
@@ -168,35 +186,31 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_words: int = 5, part_bytes: int = 1 << 24) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_words: int = 5, parts: int | None = None, group_chars: int = 1 << 21) -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next row is the next by id (null ids first, equal ids in the order read); after the last comes the first.
-    One shuffle, by ranges of ids; the first row of each range goes to the range before as well.
+    One shuffle, by ranges of ids; the first row of each part goes to the part before as well, that of all to the last.
     """
-    cuts = bounds(docs, id_col, text_col, part_bytes)
-    kind = docs.schema[id_col].dataType.simpleString()
-    low = docs.agg(F.max(F.col(id_col).isNull()), F.min(id_col)).first()
-    firsts = np.unique(np.concatenate((cuts, np.array([] if low[1] is None else [low[1]], np.int64))))
-    has_null, top = bool(low[0]), -1 if low[1] is None else len(cuts)  # top: the last part that has rows
-    src = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("rid"))
+    src = with_row_numbers(docs, id_col, text_col)
+    kind = src.schema["id"].dataType.simpleString()
+    arrow_id = src.select("id").limit(0).toArrow().schema.field(0).type
+    low = lowest(src)
+    where = cuts(src, low, parts)
+    low_rid = None if low is None else low[1]
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         zip_ = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            part = part_of(b.column(0), cuts)
-            data = [zip_((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
-            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            lead = null if has_null else (ids == low[1]) & ~null  # may be the first row of all
-            head = np.isin(ids, firsts) & ~null  # may be the first of its part
-            back = np.concatenate((np.flatnonzero(head), np.flatnonzero(lead)))
-            before = np.concatenate((np.where(ids[head] == low[1], -1, part[head] - 1), np.full(int(lead.sum()), top)))
-            again = np.concatenate((np.zeros(len(part), np.int32), np.ones(int(head.sum()), np.int32), np.full(int(lead.sum()), 2, np.int32)))
-            rows = pa.array(np.concatenate((np.arange(len(part)), back)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, before))), pa.array(again), b.column(0).take(rows), b.column(2).take(rows), pa.array(data, pa.binary()).take(rows)], names=["part", "again", "id", "rid", "data"])
+            part, first = where.place(b.column("id"), b.column("rid"))
+            data = [zip_((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column("text")]
+            head, lead = np.flatnonzero(first), np.flatnonzero(b.column("rid").to_numpy() == low_rid)
+            rows = pa.array(np.concatenate((np.arange(len(part)), head, lead)))
+            before = np.concatenate((part, part[head] - 1, np.full(len(lead), where.parts - 1)))
+            again = np.repeat(np.array([0, 1, 2], np.int32), [len(part), len(head), len(lead)])
+            yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(again), b.column("id").take(rows), b.column("rid").take(rows), pa.array(data, pa.binary()).take(rows)], names=["part", "again", "id", "rid", "data"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str, str]]:
         """id, text, next text; per part: its rows, then the first of the next part (again = 1), or of all after the last (2)."""
@@ -225,8 +239,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         group, chars = [], 0
         for x in pairs(batches):
             group.append(x)
-            chars += len(x[1])
-            if chars >= 1 << 21:
+            chars += len(x[1]) + ROW_CHARS
+            if chars >= group_chars:
                 yield finish(group)
                 group, chars = [], 0
         if group:
@@ -243,6 +257,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    arrow_id = pa.int64() if kind == "bigint" else pa.int32()
     tagged = src.mapInArrow(tag, f"part bigint, again int, id {kind}, rid bigint, data binary")
-    return in_order(tagged, len(cuts) + 1, "again", "id", "rid").mapInArrow(run, f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(tagged, where.parts, "again", "id", "rid").mapInArrow(run, f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

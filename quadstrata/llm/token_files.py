@@ -15,6 +15,10 @@ a block readable on its own, vectorised (``read_doc``); the index (all columns b
 leads to the block.  Blocks lie in Parquet, so any store that Spark reaches will do.
 
 Encoding caches the ids of words within a worker, in a bounded cache.
+
+Null texts are empty: their end id alone.  Ids may be of any sortable type; null ids come first,
+repeated ids in the order read.  Texts of any length stay whole; blocks are bounded in ids and in
+documents.  An empty table gives no block.  Only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .ordered import bounds, in_order, part_of
+from .ordered import cuts, in_order, lowest, with_row_numbers
 
 MAGIC = b"QSID"
 #: Rust's \s lacks these, Python's split() has them.
@@ -42,6 +46,8 @@ def bit_width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits < 32 and len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"the id {int(ids.max())} doesn't fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     cells = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
@@ -134,33 +140,39 @@ class _Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 1 << 25, block_ids: int = 1 << 20) -> DataFrame:
-    """Encode, order and pack; returns the table of blocks as written and read back.
+def vocabulary_of(path: str, *more: int) -> int:
+    """One more than the greatest id of the tokenizer file and of the ids more."""
+    from tokenizers import Tokenizer
 
-    Null texts are empty (their end id remains); null ids come first; of equal ids the order is that of the rows read.
-    """
-    bits = bit_width(vocabulary)
-    cuts = bounds(docs, id_col, text_col, part_bytes)
-    src = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("rid"))
+    return 1 + max([*Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), *more])
+
+
+def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_ids: int = 1 << 20, block_docs: int = 1 << 16) -> DataFrame:
+    """Encode, order and pack; returns the table of blocks as written and read back.  vocabulary: that of the file, unless given."""
+    bits = bit_width(vocabulary or vocabulary_of(path, end_id))
+    src = with_row_numbers(docs, id_col, text_col)
+    kind = src.schema["id"].dataType.simpleString()
+    arrow_id = src.select("id").limit(0).toArrow().schema.field(0).type
+    where = cuts(src, lowest(src), parts)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _worker(path)
         for b in batches:
-            coded = [np.frombuffer(enc.text(t.as_py() or "") + end, "<u4") for t in b.column(1)]
+            coded = [np.frombuffer(enc.text(t.as_py() or "") + end, "<u4") for t in b.column("text")]
             n, packed = [len(c) for c in coded], [pack(c, bits) for c in coded]
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0), cuts)), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["part", "id", "rid", "n", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(where.place(b.column("id"), b.column("rid"))[0]), b.column("id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["part", "id", "rid", "n", "packed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, total, part, seq = [], [], 0, None, 0
 
         def flush():
             data = write_block(held, bits)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(held)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["part", "block", "ids", "n_docs", "n_ids", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([ids], pa.list_(arrow_id)), pa.array([len(held)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["part", "block", "ids", "n_docs", "n_ids", "bytes"])
 
         for b in batches:
             for p, i, n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4)):
-                if held and (p != part or total >= block_ids):
+                if held and (p != part or total >= block_ids or len(held) >= block_docs):
                     yield flush()
                     seq = seq + 1 if p == part else 0
                     held, ids, total = [], [], 0
@@ -173,28 +185,32 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: i
         if held:
             yield flush()
 
-    coded = src.mapInArrow(encode, "part bigint, id bigint, rid bigint, n bigint, packed binary")
-    made = in_order(coded, len(cuts) + 1, "id", "rid").mapInArrow(blocks, "part bigint, block bigint, ids array<bigint>, n_docs bigint, n_ids bigint, bytes binary")
+    coded = src.mapInArrow(encode, f"part bigint, id {kind}, rid bigint, n bigint, packed binary")
+    made = in_order(coded, where.parts, "id", "rid").mapInArrow(blocks, f"part bigint, block bigint, ids array<{kind}>, n_docs bigint, n_ids bigint, bytes binary")
     return materialise(made, "tokens")
 
 
-def read_token_files(files: DataFrame, small_index: int = 200_000) -> DataFrame:
-    """One row per document from the blocks: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian 32-bit)."""
+def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per document from the blocks: id, start, n_tokens, ids_crc32 (of its ids as little-endian 32-bit).
+
+    Only the small rows of documents meet the blocks' starts; the blocks themselves are not shuffled.
+    """
     index = files.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = index.select(F.col("part").alias("p"), before.alias("part_start"))  # a row for each part only
     inner = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = files.select("part", "block", inner.alias("block_start")).join(parts, F.col("part") == F.col("p")).select("part", "block", (F.col("part_start") + F.col("block_start")).alias("first"))
+    kind = files.schema["ids"].dataType.elementType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, first, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+            for part, seq, ids, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 data = block.as_py()
                 bits, offsets, at = block_offsets(data)
                 raw = unpack(memoryview(data)[at:], bits, 0, int(offsets[-1])).astype("<u4")
                 crc = [zlib.crc32(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(offsets[:-1] + first), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                n = len(crc)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.full(n, seq)), ids.values, pa.array(offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["part", "block", id_col, "offset", "n_tokens", "ids_crc32"])
 
-    if files.count() <= small_index:  # 24 bytes a block; beyond that the join shuffles
-        starts = F.broadcast(starts)
-    return files.join(starts, ["part", "block"]).select("ids", "first", "bytes").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = files.select("part", "block", "ids", "bytes").mapInArrow(read, f"part bigint, block bigint, `{id_col}` {kind}, offset bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.join(starts, ["part", "block"]).select(id_col, (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

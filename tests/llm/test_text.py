@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quadstrata.llm import byte_bpe, iblt, lm, mixing, pii, queries, secrets, token_files, toxicity
 
@@ -226,7 +227,7 @@ def test_pipeline_mixes_whole_texts(spark, docs, rows, sf):
 
 
 def test_fingerprints(docs, rows, none):
-    got = iblt.fingerprints(docs, part_bytes=20_000).toPandas()
+    got = iblt.fingerprints(docs, parts=9, group_chars=50_000).toPandas()
     assert len(got) == len(rows)
     unique = sorted((r for r in rows if r[0] is not None and sum(x[0] == r[0] for x in rows) == 1), key=lambda r: r[0])
     by = got.set_index("doc_id")
@@ -247,7 +248,7 @@ def test_fingerprints(docs, rows, none):
 
 def test_last_document_is_followed_by_the_first(spark):
     rows = [(5, "first text here"), (9, "the middle one"), (12, "last of them all")]
-    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), part_bytes=8).collect()}
+    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), parts=3).collect()}
     assert got[12].edited_sha256 == sha("last of them" + "firs") and got[5].edited_sha256 == sha("first text h" + "the")
     one = iblt.fingerprints(spark.createDataFrame([(1, "just one")], "doc_id bigint, text string")).collect()[0]
     assert one.near_next == 1.0 and one.edited_sha256 == sha("just o" + "ju")
@@ -256,10 +257,52 @@ def test_last_document_is_followed_by_the_first(spark):
 def test_last_null_id_keeps_its_row(spark):
     for ids in ([None, None], [None, None, *[4] * 30, 9]):  # no id at all; the smallest id is the first bound too
         data = [(i, f"text {k} of these") for k, i in enumerate(ids)]
-        got = iblt.fingerprints(spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1), part_bytes=100).collect()
+        got = iblt.fingerprints(spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1), parts=5).collect()
         assert Counter(r.doc_id for r in got) == Counter(ids)
 
 
+def test_ids_of_any_type_and_hot_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    ids = [None] * 40 + ["b"] * 200 + ["a", "ä", "c", "z"]
+    data = [(i, f"text {k} of these") for k, i in enumerate(ids)]
+    spark.createDataFrame(data, "doc_id string, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    ordered = [r.text for r in table.select("*", F.monotonically_increasing_id().alias("rid")).orderBy(F.col("doc_id").asc_nulls_first(), "rid").collect()]
+    got = token_files.read_token_files(token_files.write_token_files(table, path, parts=12)).orderBy("start").collect()
+    want = [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in ordered]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4"))) for x in want]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+    prints = Counter((r.n_chars, r.edited_sha256) for r in iblt.fingerprints(table, parts=12).collect())
+    assert prints == Counter((len(t), sha(iblt.edited(t, n))) for t, n in zip(ordered, [*ordered[1:], ordered[0]]))
+
+
+def test_fingerprints_of_many_empty_rows(spark):
+    got = iblt.fingerprints(spark.range(50_000).selectExpr("id as doc_id", "'' as text"))
+    assert got.filter("n_chars = 0 and near_next = 1.0").count() == 50_000
+
+
+def test_coinciding_digests_end():
+    same = np.array([5, 5, 9], np.uint64)  # not a set: no sketch of it peels
+    x, y = iblt.differences([same], [np.array([9, 7], np.uint64)])
+    assert (x[0], y[0]) == (1, 1)
+
+
+def test_paragraphs_have_digests_of_their_own():
+    text = "a first paragraph of more than five words\nshort one\nand a third paragraph that is long as well"
+    a, b = iblt.piece_digests(text), iblt.piece_digests(text.replace("third", "fourth"))
+    assert len(a) == len(b) == 2 + 1 + 3 + 2 - 1 + 0
+    assert len(np.setdiff1d(a, b)) == 2  # the paragraph, and its piece
+
+
+def test_an_id_beyond_the_vocabulary_is_an_error():
+    with pytest.raises(ValueError):
+        token_files.pack(np.array([8], "<u4"), 3)
+    assert token_files.vocabulary_of(queries.tokenizer_path("word_bpe_49k.json"), 2) == 49_408
+
+
 def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(0)
     for n, d in ((50, 3), (1000, 400), (5000, 5000), (0, 0)):
@@ -359,7 +402,7 @@ def test_token_files(docs, rows, none, spark, sf):
     path = queries.tokenizer_path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
     for table, data in ((docs, rows), (d := spark.read.parquet(f"{sf}/documents.parquet"), [(r.doc_id, r.text) for r in d.collect()])):
-        got = token_files.read_token_files(token_files.write_token_files(table, path, part_bytes=20_000, block_ids=500)).toPandas().sort_values("start")
+        got = token_files.read_token_files(token_files.write_token_files(table, path, parts=9, block_ids=500, block_docs=7)).toPandas().sort_values("start")
         ids = {}
         for r in data:
             ids.setdefault(r[0], []).append([*lib.encode(r[1] or "", add_special_tokens=False).ids, 2])
