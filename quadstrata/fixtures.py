@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.tiles import tile_id, tile_x, tile_y
 from .functions.times import unix_of
-from .operators.changes import node_log, squash
-from .operators.tiling import relation_tiles, way_tiles
+from .operators.changes import squash
+from .plans.history import History
 from .schema import NODE, RELATION, WAY
 
 ZOOM = 14
@@ -48,48 +50,71 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.union(o)
 
 
-def object_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """type, id, tile, version of all objects."""
-    n = nodes(spark, sf_dir).select("id", "tile")
-    w = way_tiles(way_nodes(spark, sf_dir), n)
-    r = relation_tiles(members(spark, sf_dir), n, w)
-    tag = lambda df, k: df.select(F.lit(k).cast("tinyint").alias("type"), "id", "tile", F.lit(1).alias("version"))
-    return tag(n, NODE).union(tag(w, WAY)).union(tag(r, RELATION))
-
-
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """layer_id, op, type, id, version, lon, lat, x, y, tile: events as changes of nodes, a layer for each hour."""
+    """layer_id, at, op, type, id, version, lon, lat, x, y, tile: events as changes of nodes, with the hour's end as layer."""
     parts = table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))  # one row
     e = table(spark, sf_dir, "events").crossJoin(F.broadcast(parts))
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("modify")
     id_ = F.when(F.col("event_type") == "signup", 1000000 + F.col("event_id")).otherwise((F.col("user_id") * 13 + F.col("event_id")) % F.col("n_parts"))
     layer = (F.floor(unix_of(F.col("ts")) / 3600) + 1) * 3600
-    return _tiled(e.select(layer.cast("long").alias("layer_id"), op.alias("op"), F.lit(NODE).cast("tinyint").alias("type"), id_.cast("long").alias("id"), (2 + F.col("event_id")).cast("int").alias("version"), *_place(F.col("event_id"))))
+    return _tiled(e.select(layer.cast("long").alias("layer_id"), unix_of(F.col("ts")).alias("at"), op.alias("op"), F.lit(NODE).cast("tinyint").alias("type"), id_.cast("long").alias("id"), (2 + F.col("event_id")).cast("int").alias("version"), *_place(F.col("event_id"))))
 
 
 def squashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squash(changes(spark, sf_dir), ["layer_id"])
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """layer_id, type, id, version, tile, deleted: the state of each node in each layer that has it; layer 0 is the base."""
-    base = nodes(spark, sf_dir).select(F.lit(0).cast("long").alias("layer_id"), F.lit(NODE).cast("tinyint").alias("type"), "id", "version", "tile", F.lit(False).alias("deleted"))
-    gone = F.col("op") == "delete"
-    return base.union(squashed(spark, sf_dir).select("layer_id", "type", "id", "version", F.when(~gone, F.col("tile")).alias("tile"), gone.alias("deleted")))
+#: Six hours of changes make a layer of the test history, whose last is at the last midnight of the events.
+STEP = 6 * 3600
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """layer_id, type, id, tile, version; version null: tombstone."""
-    return node_log(history(spark, sf_dir))
+def last_midnight(spark: SparkSession, sf_dir: str) -> int:
+    return int(table(spark, sf_dir, "events").agg(F.floor(F.max(unix_of(F.col("ts"))) / 86400) * 86400).first()[0] or 0)
 
 
-def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, base, timespan, kind: the base, a diff for each hour, and for each whole day a longer diff and a snapshot."""
-    hours = changes(spark, sf_dir).select(F.col("layer_id").alias("id")).distinct()
-    full = hours.sparkSession.range(1).select(F.lit(0).cast("long").alias("id"), F.lit(None).cast("long").alias("base"), F.lit(None).cast("long").alias("timespan"), F.lit("full").alias("kind"))
-    span = lambda df, s, kind: df.select("id", (F.col("id") - s).alias("base"), F.lit(s).cast("long").alias("timespan"), F.lit(kind).alias("kind"))
-    days = hours.filter(F.col("id") % 86400 == 0)
-    return full.union(span(hours, 3600, "diff")).union(span(days, 86400, "diff")).union(span(days, 86400, "snapshot"))
+def change_set(spark: SparkSession, sf_dir: str, upto: int, span: int = STEP) -> DataFrame:
+    """The changes within span seconds up to a moment, with the object columns and op, not squashed."""
+    from .operators.tiling import with_columns
+
+    c = changes(spark, sf_dir).filter((F.col("at") > upto - span) & (F.col("at") <= upto))
+    return with_columns(c.withColumn("ts", F.timestamp_seconds("at")), "op")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> History:
+    """The test history, built once for each application and data folder: a full layer, three diffs, one diff in place of the last two, and a snapshot of the tiles that these two touched."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        top, path = last_midnight(spark, sf_dir), folder(spark, "history")
+        h = History.create(spark, path, objects(spark, sf_dir), top - 3 * STEP)
+        for k in (2, 1, 0):
+            h.apply_diff(change_set(spark, sf_dir, top - k * STEP), top - k * STEP)
+        h.take_diff_snapshot(top, 2 * STEP)
+        h.take_snapshot(top, 2 * STEP)
+        _stored[key] = h
+    return _stored[key]
+
+
+def stored_at_once(spark: SparkSession, sf_dir: str) -> History:
+    """Another history: a full layer, and the changes of the first six hours as a snapshot."""
+    key = (spark.sparkContext.applicationId, sf_dir, "at once")
+    if key not in _stored:
+        top = last_midnight(spark, sf_dir)
+        h = History.create(spark, folder(spark, "at_once"), objects(spark, sf_dir), top - 3 * STEP)
+        h.snapshot_of(change_set(spark, sf_dir, top - 2 * STEP), top - 2 * STEP)
+        _stored[key] = h
+    return _stored[key]
+
+
+_stored: dict[tuple, History] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share; it goes when the application ends."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{place.rstrip('/')}/quadstrata-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NODE, OBJECT_COLUMNS, RELATION, WAY
-from .tiling import member_refs, node_tiles, relation_tiles, way_refs, way_tiles
+from .state import vacated
+from .tiling import member_refs, node_tiles, references, relation_tiles, way_refs, way_tiles
 
 
 def squash(changes: DataFrame, by: list[str] | None = None, order: Column | None = None) -> DataFrame:
@@ -24,19 +25,20 @@ def squash(changes: DataFrame, by: list[str] | None = None, order: Column | None
 
 @dataclass
 class TiledDiff:
-    """What a change set adds to the log: objects, tile rows (null version: tombstone) and keys."""
+    """What a change set adds to the log: objects, tile rows (null version: tombstone), keys with all their tiles, and references."""
 
     objects: DataFrame
     tiles: DataFrame
     keys: DataFrame
+    refs: DataFrame
 
 
 def _keyed(df: DataFrame, kind: int) -> DataFrame:
     return df.select(F.lit(kind).cast("tinyint").alias("type"), "id", "tile")
 
 
-def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """id of those whose set of tiles differs."""
+def differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id of those whose set of tiles differs; before, after: id, tile."""
     b, a = before.select("id", "tile"), after.select("id", "tile")
     return b.subtract(a).union(a.subtract(b)).select("id").distinct()
 
@@ -46,7 +48,13 @@ def parents_of(objects: DataFrame, moved_nodes: DataFrame) -> DataFrame:
     return way_refs(objects).join(moved_nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select(F.col("way_id").alias("id")).distinct()
 
 
-def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: int = 14, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> TiledDiff:
+def keys_of(objects: DataFrame, tiles: DataFrame) -> DataFrame:
+    """type, id, deleted (false) and all tiles of each object."""
+    per = tiles.groupBy("type", "id").agg(F.sort_array(F.collect_set("tile")).alias("tiles"))
+    return objects.select("type", "id").join(per, ["type", "id"], "left").select("type", "id", F.lit(False).alias("deleted"), F.coalesce("tiles", F.array().cast("array<bigint>")).alias("tiles"))
+
+
+def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: int = 14, hold: Callable[[DataFrame], DataFrame] = lambda df: df, nested_relations: bool = False) -> TiledDiff:
     """objects and tiles (type, id, tile) before, and squashed changes -> the new layer.
 
     Level by level: changed nodes, then changed ways and those over a node whose tile
@@ -54,6 +62,7 @@ def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: i
     set win over parents that only follow; every parent's tiles are computed anew from
     the state after the change, so the state equals a bulk build of the final objects.
     hold: what to do with tables of the change's size that are used more than once.
+    nested_relations: a relation has the tiles that its member relations had before the change.
     """
     alive = changes.filter(F.col("op") != "delete")
     keys = changes.select("type", "id")
@@ -62,7 +71,7 @@ def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: i
 
     n_ids = kind(keys, NODE).select("id")
     n_new = hold(node_tiles(kind(alive, NODE), zoom))
-    n_moved = hold(_changed(before(NODE, n_ids), n_new))
+    n_moved = hold(differing(before(NODE, n_ids), n_new))
     n_after = kind(tiles, NODE).select("id", "tile").join(n_ids, "id", "left_anti").union(n_new)
 
     w_ids = kind(keys, WAY).select("id")
@@ -70,7 +79,7 @@ def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: i
     w_all = kind(alive, WAY).select(*OBJECT_COLUMNS).union(w_follow)
     w_new = hold(way_tiles(way_refs(w_all), n_after))
     w_touched = w_ids.union(w_follow.select("id")).distinct()
-    w_moved = hold(_changed(before(WAY, w_touched), w_new))
+    w_moved = hold(differing(before(WAY, w_touched), w_new))
     w_after = kind(tiles, WAY).select("id", "tile").join(w_touched, "id", "left_anti").union(w_new)
 
     r_ids = kind(keys, RELATION).select("id")
@@ -78,26 +87,13 @@ def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: i
     r_parents = member_refs(objects).join(moved, ["member_type", "member_id"], "left_semi").select(F.col("relation_id").alias("id")).distinct()
     r_follow = hold(kind(objects, RELATION).join(r_parents, "id", "left_semi").join(r_ids, "id", "left_anti").select(*OBJECT_COLUMNS))
     r_all = kind(alive, RELATION).select(*OBJECT_COLUMNS).union(r_follow)
-    r_new = hold(relation_tiles(member_refs(r_all), n_after, w_after))
+    r_new = hold(relation_tiles(member_refs(r_all), n_after, w_after, kind(tiles, RELATION).select("id", "tile") if nested_relations else None))
     r_touched = r_ids.union(r_follow.select("id")).distinct()
 
     written = kind(alive, NODE).select(*OBJECT_COLUMNS).union(w_all).union(r_all)
     live = _keyed(n_new, NODE).union(_keyed(w_new, WAY)).union(_keyed(r_new, RELATION))
     old = _keyed(before(NODE, n_ids), NODE).union(_keyed(before(WAY, w_touched), WAY)).union(_keyed(before(RELATION, r_touched), RELATION))
-    gone = old.subtract(live).withColumn("version", F.lit(None).cast("int"))
+    gone = vacated(old, live).withColumn("version", F.lit(None).cast("int"))
     rows = live.join(written.select("type", "id", "version"), ["type", "id"]).select("type", "id", "tile", "version").union(gone)
-    dead = changes.filter(F.col("op") == "delete").select("type", "id", F.lit(True).alias("deleted"))
-    return TiledDiff(written, rows, written.select("type", "id", F.lit(False).alias("deleted")).union(dead))
-
-
-def node_log(history: DataFrame) -> DataFrame:
-    """All tile rows of node-only histories in one pass: history (id, layer_id, tile or null if deleted, version) -> layer_id, type, id, tile, version.
-
-    A node's tile in one layer and the one before, by lag, give its live rows and its tombstones; no loop over layers.
-    """
-    w = Window.partitionBy("id").orderBy("layer_id")
-    h = history.withColumn("_before", F.lag("tile").over(w))
-    log = lambda df, tile, version: df.select("layer_id", F.lit(NODE).cast("tinyint").alias("type"), "id", tile.alias("tile"), version.cast("int").alias("version"))
-    live = log(h.filter(F.col("tile").isNotNull()), F.col("tile"), F.col("version"))
-    left = h.filter(F.col("_before").isNotNull() & (F.col("tile").isNull() | (F.col("tile") != F.col("_before"))))
-    return live.union(log(left, F.col("_before"), F.lit(None)))
+    dead = changes.filter(F.col("op") == "delete").select("type", "id", F.lit(True).alias("deleted"), F.array().cast("array<bigint>").alias("tiles"))
+    return TiledDiff(written, rows, keys_of(written, live).union(dead), references(alive))

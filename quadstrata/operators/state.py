@@ -24,41 +24,20 @@ def current_tiles(log: DataFrame, upto: int | None = None) -> DataFrame:
     return latest(seen, ["type", "id", "tile"]).filter(F.col("version").isNotNull())
 
 
-def get_by_tiles(log: DataFrame, tiles: DataFrame) -> DataFrame:
-    """What is in the tiles asked for, one row for each object and tile; tombstones suppress what lies below."""
-    return current_tiles(log.join(tiles.select("tile").distinct(), "tile", "left_semi"))
-
-
 def get_by_keys(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """key_log or object log (layer_id, type, id, deleted, ...) -> the latest row of each key asked for, unless deleted."""
-    return latest(log.join(keys.select("type", "id").distinct(), ["type", "id"], "left_semi"), ["type", "id"]).filter(~F.col("deleted"))
-
-
-def tiles_for_keys(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """type, id, tile; a key that is missing or deleted has one row with a null tile."""
-    own = keys.select("type", "id").distinct()
-    return own.join(current_tiles(log.join(own, ["type", "id"], "left_semi")).select("type", "id", "tile"), ["type", "id"], "left")
-
-
-def compact(log: DataFrame, above: int, upto: int) -> DataFrame:
-    """One layer in place of those in (above, upto]: last wins for each type, id and tile; tombstones stay."""
-    return latest(log.filter((F.col("layer_id") > above) & (F.col("layer_id") <= upto)), ["type", "id", "tile"])
+    """A log by key (layer_id, type, id, deleted, ...) -> the latest row of each key asked for, unless deleted."""
+    return latest(log.join(keys.select("type", "id"), ["type", "id"], "left_semi"), ["type", "id"]).filter(~F.col("deleted"))
 
 
-def touched_tiles(log: DataFrame, above: int, upto: int) -> DataFrame:
-    return log.filter((F.col("layer_id") > above) & (F.col("layer_id") <= upto)).select("tile").distinct()
+def compact(log: DataFrame) -> DataFrame:
+    """One layer in place of several: the last row of each type, id and tile; tombstones stay."""
+    return latest(log, ["type", "id", "tile"])
 
 
-def snapshot(log: DataFrame, above: int, upto: int, tombstones: bool = False) -> DataFrame:
-    """The full content, as of upto, of all tiles touched in (above, upto]."""
-    found = latest(log.filter(F.col("layer_id") <= upto).join(touched_tiles(log, above, upto), "tile", "left_semi"), ["type", "id", "tile"])
-    return found if tombstones else found.filter(F.col("version").isNotNull())
-
-
-def owner_layers(log: DataFrame, upto: int | None = None) -> DataFrame:
-    """tile, owner: the newest layer that has the tile."""
-    seen = log if upto is None else log.filter(F.col("layer_id") <= upto)
-    return seen.groupBy("tile").agg(F.max("layer_id").alias("owner"))
+def owner_layers(log: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+    """tile, owner: the newest layer that has the tile, its empty marks (tile, layer_id) included."""
+    seen = log.select("tile", "layer_id")
+    return (seen if empty is None else seen.union(empty.select("tile", "layer_id"))).groupBy("tile").agg(F.max("layer_id").alias("owner"))
 
 
 def merge_recent_wins(base: DataFrame, recent: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,17 +50,3 @@ def merge_recent_wins(base: DataFrame, recent: DataFrame, keys: list[str]) -> Da
 def vacated(before: DataFrame, after: DataFrame) -> DataFrame:
     """type, id, tile that objects left."""
     return before.select("type", "id", "tile").subtract(after.select("type", "id", "tile"))
-
-
-def complete(tile_objects: DataFrame, objects: DataFrame, ways: bool = True, relations: bool = False) -> DataFrame:
-    """type, id of a tile's objects, with the nodes of its ways and the direct members of its relations that exist."""
-    from .tiling import member_refs, way_refs
-
-    own = tile_objects.select("type", "id").distinct()
-    every = own
-    full = objects.join(own, ["type", "id"], "left_semi")
-    if ways:
-        every = every.union(way_refs(full).select(F.lit(0).cast("tinyint").alias("type"), F.col("node_id").alias("id")))
-    if relations:
-        every = every.union(member_refs(full).select(F.col("member_type").cast("tinyint").alias("type"), F.col("member_id").alias("id")))
-    return objects.select("type", "id").join(every.distinct(), ["type", "id"], "left_semi").distinct()

@@ -42,29 +42,41 @@ def way_tiles(refs: DataFrame, node_tile: DataFrame) -> DataFrame:
     return refs.join(t, "node_id").select(F.col("way_id").alias("id"), "tile").distinct()
 
 
-def relation_tiles(refs: DataFrame, node_tile: DataFrame, way_tile: DataFrame) -> DataFrame:
-    """relation_id, member_type, member_id (type rank) -> distinct id, tile; relations within relations are passed over."""
-    both = node_tile.select(F.lit(NODE).alias("member_type"), F.col("id").alias("member_id"), "tile").union(way_tile.select(F.lit(WAY).alias("member_type"), F.col("id").alias("member_id"), "tile"))
-    return refs.join(both, ["member_type", "member_id"]).select(F.col("relation_id").alias("id"), "tile").distinct()
+def relation_tiles(refs: DataFrame, node_tile: DataFrame, way_tile: DataFrame, relation_tile: DataFrame | None = None) -> DataFrame:
+    """relation_id, member_type, member_id (type rank) -> distinct id, tile; relations within relations are passed over unless their tiles are given."""
+    tag = lambda df, kind: df.select(F.lit(kind).alias("member_type"), F.col("id").alias("member_id"), "tile")
+    every = tag(node_tile, NODE).union(tag(way_tile, WAY))
+    if relation_tile is not None:
+        every = every.union(tag(relation_tile, RELATION))
+    return refs.join(every, ["member_type", "member_id"]).select(F.col("relation_id").alias("id"), "tile").distinct()
 
 
-def object_tiles(objects: DataFrame, zoom: int = 14) -> DataFrame:
-    """type, id, tile, version of all objects: the bulk tiling."""
+def object_tiles(objects: DataFrame, zoom: int = 14, nested_relations: int = 0) -> DataFrame:
+    """type, id, tile, version of all objects: the bulk tiling.  nested_relations: through so many levels of relations a relation has the tiles of its member relations too."""
     n = node_tiles(objects.filter(F.col("type") == NODE), zoom)
     w = way_tiles(way_refs(objects), n)
     r = relation_tiles(member_refs(objects), n, w)
+    for _ in range(nested_relations):
+        r = relation_tiles(member_refs(objects), n, w, r)
     tag = lambda df, kind: df.select(F.lit(kind).cast("tinyint").alias("type"), "id", "tile")
     every = tag(n, NODE).union(tag(w, WAY)).union(tag(r, RELATION))
     return every.join(objects.select("type", "id", "version"), ["type", "id"]).select("type", "id", "tile", "version")
 
 
-def with_columns(df: DataFrame) -> DataFrame:
-    """df with exactly the object columns; those it lacks are null."""
+def references(objects: DataFrame) -> DataFrame:
+    """member_type, member_id, parent_type, parent_id: what each object is part of."""
+    kind = lambda k: F.lit(k).cast("tinyint")
+    ways = way_refs(objects).select(kind(NODE).alias("member_type"), F.col("node_id").alias("member_id"), kind(WAY).alias("parent_type"), F.col("way_id").alias("parent_id"))
+    return ways.union(member_refs(objects).select("member_type", "member_id", kind(RELATION), "relation_id")).distinct()
+
+
+def with_columns(df: DataFrame, *more: str) -> DataFrame:
+    """df with exactly the object columns, those it lacks being null, after the columns more."""
     from ..schema import OBJECTS
 
     kinds = {f.split(" ", 1)[0]: f.split(" ", 1)[1] for f in _fields(OBJECTS)}
     have = set(df.columns)
-    return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in OBJECT_COLUMNS])
+    return df.select(*more, *[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in OBJECT_COLUMNS])
 
 
 def _fields(ddl: str) -> list[str]:
@@ -77,7 +89,3 @@ def _fields(ddl: str) -> list[str]:
         else:
             now += c
     return [*out, now.strip()]
-
-
-def key_order() -> list[Column]:
-    return [F.col("type"), F.col("id")]

@@ -40,6 +40,16 @@ class Store:
         finally:
             stream.close()
 
+    def create(self, path: str, text: str) -> bool:
+        """Whether the file was made; False where there is one."""
+        try:
+            self.write(path, text, overwrite=False)
+            return True
+        except Exception:
+            if self.exists(path):
+                return False
+            raise
+
     def write(self, path: str, text: str, overwrite: bool = True) -> None:
         stream = self.fs(path).create(self.path(path), overwrite)
         try:

@@ -1,8 +1,9 @@
 """A history: layers on disk, their states, and the ways to add to it.
 
-A layer's folder holds objects (sorted by key), tile_log (partitioned by coarse tile,
-sorted by tile), key_log and, in snapshots, empty_tile.  Reads resolve the shortest chain
-of layers on the driver and take the latest row over their union.
+A layer's folder holds objects, key_log (each key with all its tiles) and refs (what an object is
+part of), in files sorted by key and, in large layers, in folders by id modulo ``parts``; tile_log,
+partitioned by coarse tile and sorted by tile; and, in snapshots, empty_tile.  Reads resolve the
+shortest chain of layers on the driver and take the latest row over their union.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import contextlib
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +20,19 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import bucket_of, tile_bucket
 from ..functions.times import to_unix
-from ..operators import state
-from ..operators.changes import TiledDiff, squash, tiled_diff
-from ..operators.tiling import member_refs, object_tiles, strip_metadata, valid, way_refs, with_columns
-from ..schema import DEFAULT_ZOOM, KEY_LOG, NODE, OBJECT_COLUMNS, OBJECTS, RELATION, TILE_LOG, WAY
+from ..operators import catalog, state
+from ..operators.changes import TiledDiff, keys_of, squash, tiled_diff
+from ..operators.tiling import member_refs, object_tiles, references, strip_metadata, valid, way_refs, with_columns
+from ..schema import DEFAULT_ZOOM, KEY_LOG, NODE, OBJECT_COLUMNS, OBJECTS, REFS, TILE_LOG, WAY
 from . import layers as ly
 from .files import Store
 from .layers import Layer
 
+#: Objects in a folder of a large layer.
+PART_ROWS = 250_000
+#: Up to so many keys, their ids are brought to the driver to choose the folders to read.
+FEW = 20_000
+
 
 class View:
     """The state as of one layer of a history."""
@@ -33,8 +41,22 @@ class View:
         self.history, self.head = history, head
         self.chain = ly.chain(history.layers, head, smallest)
 
-    def _union(self, table: str, schema: str, layers: list[Layer] | None = None) -> DataFrame:
-        return self.history.spark.read.schema(f"{schema}, layer_id bigint").parquet(*[f"{x.path}/{table}" for x in layers or self.chain])
+    def _keyed(self, table: str, schema: str, layers: list[Layer] | None = None, ids: list[int] | None = None) -> DataFrame:
+        """A table that is split by id; with ids, only their folders are read."""
+        layers, read = layers or self.chain, self.history.spark.read
+        found = [read.schema(f"{schema}, layer_id bigint").parquet(*[f"{x.path}/{table}" for x in layers if x.parts == 1])] if any(x.parts == 1 for x in layers) else []
+        for x in layers:
+            if x.parts > 1:
+                part = self.history.spark.read.schema(f"{schema}, layer_id bigint, part int").parquet(f"{x.path}/{table}")
+                found.append((part if ids is None else part.filter(F.col("part").isin(sorted({i % x.parts for i in ids})))).drop("part"))
+        return reduce(DataFrame.union, found)
+
+    def _few(self, keys: DataFrame, column: str = "id") -> list[int] | None:
+        """The ids of keys, if there are folders to choose from and the ids are few."""
+        if all(x.parts == 1 for x in self.chain):
+            return None
+        rows = keys.select(column).distinct().limit(FEW + 1).collect()
+        return [r[0] for r in rows if r[0] is not None] if len(rows) <= FEW else None
 
     def tile_log(self, layers: list[Layer] | None = None, tiles: list[int] | None = None) -> DataFrame:
         """layer_id, type, id, tile, version; with tiles, only their coarse partitions are read."""
@@ -44,17 +66,24 @@ class View:
             log = log.filter(F.col("bucket").isin(sorted({bucket_of(t, self.head.zoom) for t in tiles})) & F.col("tile").isin(tiles))
         return log.drop("bucket")
 
-    def key_log(self) -> DataFrame:
-        return self._union("key_log", KEY_LOG)
+    def empty_tiles(self, layers: list[Layer] | None = None) -> DataFrame:
+        """tile, layer_id of the marks that snapshots leave."""
+        marks = [self.history.spark.read.schema("tile bigint").parquet(f"{x.path}/empty_tile").withColumn("layer_id", F.lit(x.id).cast("long")) for x in layers or self.chain if x.kind == "snapshot"]
+        return reduce(DataFrame.union, marks) if marks else self.history.spark.createDataFrame([], "tile bigint, layer_id bigint")
+
+    def key_log(self, ids: list[int] | None = None) -> DataFrame:
+        return self._keyed("key_log", KEY_LOG, ids=ids)
 
     def _objects(self, keys: DataFrame | None = None) -> DataFrame:
         """Latest payload of keys that aren't deleted."""
-        log, payload = self.key_log(), self._union("objects", OBJECTS)
-        if keys is not None:
+        ids = None if keys is None else self._few(keys)
+        log, payload = self.key_log(ids), self._keyed("objects", OBJECTS, ids=ids)
+        if keys is None:
+            alive = state.latest(log, ["type", "id"]).filter(~F.col("deleted"))
+        else:
             own = keys.select(F.col("type").cast("tinyint").alias("type"), F.col("id").cast("long").alias("id")).distinct()
-            log, payload = log.join(own, ["type", "id"], "left_semi"), payload.join(own, ["type", "id"], "left_semi")
-        alive = state.latest(log, ["type", "id"]).filter(~F.col("deleted")).select("type", "id", "layer_id")
-        return payload.join(alive, ["type", "id", "layer_id"], "left_semi").select(*OBJECT_COLUMNS)
+            alive, payload = state.get_by_keys(log, own), payload.join(own, ["type", "id"], "left_semi")
+        return payload.join(alive.select("type", "id", "layer_id"), ["type", "id", "layer_id"], "left_semi").select(*OBJECT_COLUMNS)
 
     def scan(self) -> DataFrame:
         """All objects."""
@@ -68,27 +97,30 @@ class View:
         """The tile rows of the head layer alone, tombstones included."""
         return self.tile_log([self.head])
 
+    def tiles_of(self, keys: DataFrame) -> DataFrame:
+        """type, id, tile of the keys that are there and in a tile; keys: type, id, distinct."""
+        found = state.get_by_keys(self.key_log(self._few(keys)), keys)
+        return found.select("type", "id", F.explode("tiles").alias("tile"))
+
+    def parents(self, keys: DataFrame) -> DataFrame:
+        """type, id of ways and relations that refer to a key, or did in a layer of the chain; keys: type, id, distinct."""
+        refs = self._keyed("refs", REFS, ids=self._few(keys))
+        own = keys.select(F.col("type").alias("member_type"), F.col("id").alias("member_id"))
+        return refs.join(own, ["member_type", "member_id"], "left_semi").select(F.col("parent_type").alias("type"), F.col("parent_id").alias("id")).distinct()
+
     def affected(self, changes: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-        """Of the state, the objects and tile rows that a diff with these changes can depend on.
+        """Of the state, the objects and tiles that a diff with these changes can depend on.
 
-        Parents are looked for in all versions of the payload, so that nothing of the state's size goes through a window;
-        those whose latest version has no changed member any more do no harm.  Each log is scanned once per level, against
-        tables of the change's size.
+        All lookups are by key: parents of what changes, parents of the ways among them, the objects of all of these, the
+        tiles of their members.  A parent whose latest version has no changed member any more does no harm.
         """
-        payload = self._union("objects", OBJECTS)
         own = changes.select("type", "id").distinct()
-        nodes = own.filter(F.col("type") == NODE).select(F.col("id").alias("node_id"))
-        over_nodes = way_refs(payload).join(nodes, "node_id", "left_semi").select(F.lit(WAY).cast("tinyint").alias("type"), F.col("way_id").alias("id"))
-        below = settle(own.union(over_nodes).distinct())  # what a relation may follow
-        member = below.select(F.col("type").alias("member_type"), F.col("id").alias("member_id"))
-        over = member_refs(payload).join(member, ["member_type", "member_id"], "left_semi").select(F.lit(RELATION).cast("tinyint").alias("type"), F.col("relation_id").alias("id"))
-        keys = settle(below.union(over).distinct())
+        first = settle(own.union(self.parents(own)).distinct())
+        keys = settle(first.union(self.parents(first.filter(F.col("type") == WAY))).distinct())
         objects = settle(self._objects(keys))
         both = objects.select(*OBJECT_COLUMNS).union(changes.select(*OBJECT_COLUMNS))
         parts = way_refs(both).select(F.lit(NODE).cast("tinyint").alias("type"), F.col("node_id").alias("id")).union(member_refs(both).select(F.col("member_type").alias("type"), F.col("member_id").alias("id")))
-        needed = settle(keys.union(parts).distinct())
-        tiles = state.current_tiles(self.tile_log().join(needed, ["type", "id"], "left_semi"))
-        return objects, settle(tiles.select("type", "id", "tile", "version"))
+        return objects, settle(self.tiles_of(keys.union(parts).distinct()))
 
     def get(self, keys: DataFrame) -> DataFrame:
         return self._objects(keys)
@@ -100,7 +132,7 @@ class View:
         """The chain down to the first snapshot that owns all the tiles: nothing below it is read."""
         for k, x in enumerate(self.chain):
             if x.kind == "snapshot":
-                log = self.tile_log([x], tiles).select("tile").union(self.history.spark.read.parquet(f"{x.path}/empty_tile").filter(F.col("tile").isin(tiles)))
+                log = self.tile_log([x], tiles).select("tile").union(self.empty_tiles([x]).select("tile").filter(F.col("tile").isin(tiles)))
                 if log.distinct().count() == len(set(tiles)):
                     return self.chain[: k + 1]
         return self.chain
@@ -124,23 +156,23 @@ class View:
 
     def tiles_for(self, keys: DataFrame) -> DataFrame:
         """A row for each key and tile; a missing key has one with a null tile."""
-        return state.tiles_for_keys(self.tile_log(), keys)
+        own = keys.select(F.col("type").cast("tinyint").alias("type"), F.col("id").cast("long").alias("id")).distinct()
+        return own.join(self.tiles_of(own), ["type", "id"], "left")
 
     def tiles(self, modified_only: bool = False) -> DataFrame:
         """Sorted tiles: of all layers, or with modified_only of the head alone (a full layer has them all)."""
         layers = [self.head] if modified_only or self.head.kind == "full" else self.chain
-        own = self.tile_log(layers).select("tile")
-        for x in layers:
-            if x.kind == "snapshot":
-                own = own.union(self.history.spark.read.parquet(f"{x.path}/empty_tile"))
-        return own.distinct().orderBy("tile")
+        return self.tile_log(layers).select("tile").union(self.empty_tiles(layers).select("tile")).distinct().orderBy("tile")
+
+    def owners(self, tiles: list[int] | None = None) -> DataFrame:
+        """tile, owner: the newest layer of the chain that has the tile, marked empty or not."""
+        empty = self.empty_tiles()
+        return state.owner_layers(self.tile_log(tiles=tiles), empty if tiles is None else empty.filter(F.col("tile").isin(tiles)))
 
     def owner(self, tile: int) -> Layer | None:
-        """The newest layer of the chain that has the tile, marked empty or not; the full layer answers for the rest."""
-        for x in self.chain:
-            if x.kind == "full" or not self.tile_log([x], [tile]).isEmpty() or x.kind == "snapshot" and not self.history.spark.read.parquet(f"{x.path}/empty_tile").filter(F.col("tile") == tile).isEmpty():
-                return x
-        return None
+        """The newest layer of the chain that has the tile; the full layer answers for tiles that none has."""
+        found = self.owners([tile]).first()
+        return next((x for x in self.chain if found and x.id == found.owner), self.chain[-1] if self.chain[-1].kind == "full" else None)
 
 
 class History:
@@ -154,14 +186,14 @@ class History:
     # --- opening ---
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, objects: DataFrame, timestamp=None, meta: dict | None = None, zoom: int = DEFAULT_ZOOM, keep: tuple[str, ...] = ()) -> "History":
-        """A new history with one full layer."""
+    def create(cls, spark: SparkSession, path: str, objects: DataFrame, timestamp=None, meta: dict | None = None, zoom: int = DEFAULT_ZOOM, keep: tuple[str, ...] = (), nested_relations: int = 0, part_rows: int = PART_ROWS) -> "History":
+        """A new history with one full layer.  nested_relations: levels of relations through which tiles pass to a relation."""
         store = Store(spark)
         _guard(spark)
         store.make(path)
         if ly.load(store, path):
             raise ValueError(f"{path} has layers already")
-        _build_full(spark, store, path.rstrip("/"), objects, timestamp, meta, zoom, keep)
+        _build_full(spark, store, path.rstrip("/"), objects, timestamp, meta, zoom, keep, nested_relations, part_rows)
         return cls(spark, path)
 
     @classmethod
@@ -217,36 +249,56 @@ class History:
         owner = self.view(id_).owner(tile)
         return None if owner is None else ly.at(self.layers, owner.id, True)
 
+    def table(self) -> DataFrame:
+        """id, base, timespan, kind of all layers."""
+        return self.spark.createDataFrame([(x.id, x.base, x.timespan, x.kind) for x in self.layers], "id bigint, base bigint, timespan bigint, kind string")
+
+    def as_of(self, moments: DataFrame) -> DataFrame:
+        """at -> at and the first layer at or after it, null past the last, for many moments at once."""
+        return catalog.as_of(moments, self.table())
+
     # --- adding ---
 
-    def add(self, objects: DataFrame, timestamp=None, meta: dict | None = None, keep: tuple[str, ...] = ()) -> Layer:
+    def add(self, objects: DataFrame, timestamp=None, meta: dict | None = None, keep: tuple[str, ...] = (), nested_relations: int = 0, part_rows: int = PART_ROWS) -> Layer:
         """Another full layer; the history's zoom holds."""
-        made = _build_full(self.spark, self.store, self.path, objects, timestamp, meta, self.zoom, keep)
+        made = _build_full(self.spark, self.store, self.path, objects, timestamp, meta, self.zoom, keep, nested_relations, part_rows)
         self.layers = ly.load(self.store, self.path)
         return made
 
-    def apply_diff(self, changes: DataFrame, timestamp=None, meta: dict | None = None, keep: tuple[str, ...] = ()) -> Layer:
+    def apply_diff(self, changes: DataFrame, timestamp=None, meta: dict | None = None, keep: tuple[str, ...] = (), nested_relations: bool = False) -> Layer:
         """A diff layer on the latest; its time is that of the newest change unless given, and must be later than the latest layer's."""
         base = self.latest
         changes = strip_metadata(_change_columns(changes), keep)
-        id_ = _layer_id(changes, timestamp)
+        id_ = layer_id(changes, timestamp)
         if id_ <= base.head.id:
             raise ValueError(f"a diff at {id_} isn't later than the latest layer, {base.head.id}")
+        with self._settling() as (settle, hold):
+            squashed = settle(squash(changes))
+            objects, tiles = base.affected(squashed, settle)
+            diff = tiled_diff(objects, tiles, squashed, self.zoom, hold, nested_relations)
+            return self._commit(diff, Layer(id_, "diff", base.head.id, self.zoom, meta or {}, parts=_parts(squashed.count() + objects.count())))
+
+    @contextlib.contextmanager
+    def _settling(self):
+        """settle: write a table of a change set's size, so that it is computed once and its size is known; hold: keep one that derives from such tables in memory."""
         temp, held = f"{self.path}/_tmp_{uuid.uuid4().hex}", []
 
         def settle(df: DataFrame) -> DataFrame:
-            """Write what has the size of a change set: it is computed once, and its size on disk tells the planner whether to broadcast it."""
             place = f"{temp}/{len(held)}"
             df.write.parquet(place)
-            held.append(place)
+            held.append(None)
             return self.spark.read.schema(df.schema).parquet(place)
 
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
+
         try:
-            squashed = settle(squash(changes))
-            objects, tiles = base.affected(squashed, settle)
-            diff = tiled_diff(objects, tiles, squashed, self.zoom, settle)
-            return self._commit(diff, Layer(id_, "diff", base.head.id, self.zoom, meta or {}))
+            yield settle, hold
         finally:
+            for df in held:
+                if df is not None:
+                    df.unpersist()
             with contextlib.suppress(Exception):
                 self.store.remove(temp)
 
@@ -256,30 +308,35 @@ class History:
         if len(run) < 2:
             return None
         view = View(self, run[0], True)
-        log = state.latest(view.tile_log(run), ["type", "id", "tile"]).select("type", "id", "tile", "version")
-        keys = state.latest(view._union("key_log", KEY_LOG, run), ["type", "id"])
-        objects = view._union("objects", OBJECTS, run).join(keys.filter(~F.col("deleted")).select("type", "id", "layer_id"), ["type", "id", "layer_id"], "left_semi").select(*OBJECT_COLUMNS)
-        layer = Layer(run[0].id, "diff", base, self.zoom, meta or {})
+        every = view._keyed("key_log", KEY_LOG, run)
+        layer = Layer(run[0].id, "diff", base, self.zoom, meta or {}, parts=_parts(every.count()))
         if any(x.name == layer.name for x in self.layers):
             return None
-        return self._commit(TiledDiff(objects, log, keys.select("type", "id", "deleted")), layer)
+        keys = state.latest(every, ["type", "id"])
+        objects = view._keyed("objects", OBJECTS, run).join(keys.filter(~F.col("deleted")).select("type", "id", "layer_id"), ["type", "id", "layer_id"], "left_semi")
+        log = state.compact(view.tile_log(run))
+        return self._commit(TiledDiff(objects.select(*OBJECT_COLUMNS), log.drop("layer_id"), keys.drop("layer_id"), view._keyed("refs", REFS, run).drop("layer_id").distinct()), layer)
+
+    def touched_tiles(self, timestamp=None, span: int = 24 * 3600) -> DataFrame | None:
+        """The tiles that layers within span seconds up to a moment have rows of."""
+        run, _ = self._range(timestamp, span, ("diff", "snapshot"))
+        return View(self, run[0], True).tile_log(run).select("tile").distinct() if run else None
 
     def take_snapshot(self, timestamp=None, span: int = 24 * 3600, meta: dict | None = None) -> Layer | None:
         """The full content of every tile touched within span seconds up to a moment, tombstones of what left them, and marks for those now empty."""
         run, base = self._range(timestamp, span, ("diff", "snapshot"))
-        if not run:
+        layer = Layer(run[0].id, "snapshot", base, self.zoom, meta or {}) if run else None
+        if layer is None or any(x.name == layer.name for x in self.layers):
             return None
         view = View(self, run[0], True)
-        tiles = view.tile_log(run).select("tile").distinct()
-        log = state.latest(view.tile_log().join(tiles, "tile", "left_semi"), ["type", "id", "tile"]).select("type", "id", "tile", "version")
-        changed = view._union("key_log", KEY_LOG, run).select("type", "id")
-        touched = log.filter("version is not null").select("type", "id").union(changed).distinct()
-        keys = state.latest(view.key_log().join(touched, ["type", "id"], "left_semi"), ["type", "id"]).select("type", "id", "deleted")
-        empty = tiles.join(log.filter("version is not null").select("tile").distinct(), "tile", "left_anti")
-        layer = Layer(run[0].id, "snapshot", base, self.zoom, meta or {})
-        if any(x.name == layer.name for x in self.layers):
-            return None
-        return self._commit(TiledDiff(view.get(touched), log, keys), layer, empty)
+        with self._settling() as (settle, _):
+            tiles = settle(self.touched_tiles(timestamp, span))
+            log = settle(state.compact(view.tile_log().join(tiles, "tile", "left_semi")).select("type", "id", "tile", "version"))
+            changed = view._keyed("key_log", KEY_LOG, run).select("type", "id")
+            touched = log.filter("version is not null").select("type", "id").union(changed).distinct()
+            keys = settle(state.latest(view.key_log().join(touched, ["type", "id"], "left_semi"), ["type", "id"]).drop("layer_id"))
+            empty = tiles.join(log.filter("version is not null").select("tile").distinct(), "tile", "left_anti")
+            return self._commit(TiledDiff(view.get(keys), log, keys, view._keyed("refs", REFS, run).drop("layer_id").distinct()), replace(layer, parts=_parts(keys.count())), empty)
 
     def snapshot_of(self, changes: DataFrame, timestamp=None, meta: dict | None = None) -> Layer:
         """Apply changes as a diff, then materialise the tiles they touch."""
@@ -310,11 +367,15 @@ def _guard(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def _parts(rows: int, part_rows: int = PART_ROWS) -> int:
+    return max(1, -(-rows // part_rows))
+
+
 def _unix(moment) -> int:
     return moment if isinstance(moment, int) else to_unix(moment)
 
 
-def _layer_id(objects: DataFrame, timestamp) -> int:
+def layer_id(objects: DataFrame, timestamp) -> int:
     """The given moment, else that of the newest object."""
     if timestamp is not None:
         return _unix(timestamp)
@@ -329,25 +390,50 @@ def _change_columns(changes: DataFrame) -> DataFrame:
     return changes.select("op", *[F.col(c).cast(own.schema[c].dataType).alias(c) if c in changes.columns else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in OBJECT_COLUMNS])
 
 
-def _build_full(spark, store, path, objects, timestamp, meta, zoom, keep) -> Layer:
-    objects = strip_metadata(valid(with_columns(objects)), keep)
-    layer = Layer(_layer_id(objects, timestamp), "full", None, zoom, meta or {})
-    diff = TiledDiff(objects, object_tiles(objects, zoom), objects.select("type", "id", F.lit(False).alias("deleted")))
-    return _write_and_publish(spark, store, path, diff, layer)
+def _build_full(spark, store, path, objects, timestamp, meta, zoom, keep, nested_relations, part_rows) -> Layer:
+    temp = f"{path}/_tmp_{uuid.uuid4().hex}"
+    try:
+        checked = strip_metadata(valid(with_columns(objects)), keep)
+        checked.write.parquet(temp)  # the source is read once
+        once = spark.read.schema(checked.schema).parquet(temp)
+        layer = Layer(layer_id(once, timestamp), "full", None, zoom, meta or {}, parts=_parts(once.count(), part_rows))
+        tiles = object_tiles(once, zoom, nested_relations)
+        return _write_and_publish(spark, store, path, TiledDiff(once, tiles, keys_of(once, tiles), references(once)), layer)
+    finally:
+        with contextlib.suppress(Exception):
+            store.remove(temp)
 
 
 def _write_and_publish(spark: SparkSession, store: Store, path: str, diff: TiledDiff, layer: Layer, empty: DataFrame | None = None) -> Layer:
-    """Objects and keys in ranges of the key, tile rows by coarse tile; into a temporary folder, then published."""
+    """Tables by key sorted, and split by id where the layer is; tile rows by coarse tile; into a temporary folder, then published."""
     temp = f"{path}/_tmp_{uuid.uuid4().hex}"
-    try:
-        mark = lambda df: df.withColumn("layer_id", F.lit(layer.id).cast("long"))
-        mark(diff.objects).repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{temp}/objects")
-        mark(diff.keys).repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{temp}/key_log")
-        rows = mark(diff.tiles).withColumn("bucket", tile_bucket(F.col("tile"), layer.zoom))
-        rows.repartitionByRange("bucket", "tile", "type", "id").sortWithinPartitions("bucket", "tile", "type", "id").write.partitionBy("bucket").parquet(f"{temp}/tile_log")
-        if layer.kind == "snapshot":
-            (empty if empty is not None else spark.createDataFrame([], "tile bigint")).select("tile").write.parquet(f"{temp}/empty_tile")
+
+    def keyed(df: DataFrame, table: str, kind: str, id_: str) -> None:
+        df = df.withColumn("layer_id", F.lit(layer.id).cast("long"))
+        if layer.parts == 1:
+            df.coalesce(1).sortWithinPartitions(kind, id_).write.parquet(f"{temp}/{table}")
+        else:
+            df = df.withColumn("part", F.pmod(F.col(id_), F.lit(layer.parts)).cast("int"))
+            df.repartitionById(layer.parts, F.col("part")).sortWithinPartitions("part", kind, id_).write.partitionBy("part").parquet(f"{temp}/{table}")
+
+    def tiled(df: DataFrame) -> None:
+        rows = df.select("type", "id", "tile", "version", F.lit(layer.id).cast("long").alias("layer_id"), tile_bucket(F.col("tile"), layer.zoom).alias("bucket"))
+        rows = rows.coalesce(1) if layer.parts == 1 else rows.repartitionByRange("bucket", "tile", "type", "id")
+        rows.sortWithinPartitions("bucket", "tile", "type", "id").write.partitionBy("bucket").parquet(f"{temp}/tile_log")
         store.make(f"{temp}/tile_log")
+
+    def marks() -> None:
+        if layer.kind == "snapshot":
+            (empty if empty is not None else spark.createDataFrame([], "tile bigint")).select("tile").coalesce(1).write.parquet(f"{temp}/empty_tile")
+
+    jobs = (
+        lambda: keyed(diff.objects, "objects", "type", "id"), lambda: keyed(diff.keys.select("type", "id", "deleted", "tiles"), "key_log", "type", "id"),
+        lambda: keyed(diff.refs, "refs", "member_type", "member_id"), lambda: tiled(diff.tiles), marks,
+    )
+    try:
+        with ThreadPoolExecutor(len(jobs)) as pool:  # small jobs of one layer side by side
+            for done in [pool.submit(j) for j in jobs]:
+                done.result()
         return ly.publish(store, temp, layer, path)
     except BaseException:
         with contextlib.suppress(Exception):

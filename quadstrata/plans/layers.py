@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from ..functions.times import from_unix
@@ -23,6 +23,8 @@ class Layer:
     zoom: int = 14
     meta: dict = field(default_factory=dict, compare=False)
     path: str = ""
+    #: Folders, by id modulo this, of the tables that are looked up by key; 1: not split.
+    parts: int = 1
 
     @property
     def timespan(self) -> int | None:
@@ -67,18 +69,23 @@ def load(store: Store, path: str) -> list[Layer]:
             place = f"{path}/{name}"
             if store.exists(f"{place}/{META}"):
                 d = json.loads(store.read(f"{place}/{META}"))
-                found.append(Layer(parsed[0], parsed[1], d.get("base"), d["zoom"], d.get("meta", {}), place))
+                found.append(Layer(parsed[0], parsed[1], d.get("base"), d["zoom"], d.get("meta", {}), place, d.get("parts", 1)))
     return sorted(found, key=lambda x: (x.id, RANK[x.kind], -(x.timespan or 0)))
 
 
 def publish(store: Store, built: str, layer: Layer, path: str) -> Layer:
-    """Move a built folder to its place; its metadata, written last, makes it visible."""
+    """Write the metadata into the built folder, then move it to its place: a reader sees all of the layer or nothing.
+
+    A folder of that name without metadata is the rest of a failed attempt and is replaced.
+    """
     place = f"{path}/{layer.name}"
-    if store.exists(place):
+    if store.exists(f"{place}/{META}"):
         raise ValueError(f"there is a layer {layer.name} already")
+    store.write(f"{built}/{META}", json.dumps({"id": layer.id, "kind": layer.kind, "base": layer.base, "zoom": layer.zoom, "meta": layer.meta, "parts": layer.parts}))
+    if store.exists(place):
+        store.remove(place)
     store.move(built, place)
-    store.write(f"{place}/{META}", json.dumps({"id": layer.id, "kind": layer.kind, "base": layer.base, "zoom": layer.zoom, "meta": layer.meta}))
-    return Layer(layer.id, layer.kind, layer.base, layer.zoom, layer.meta, place)
+    return replace(layer, path=place)
 
 
 def at(layers: list[Layer], id_: int, smallest: bool = False) -> Layer | None:

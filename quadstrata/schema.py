@@ -15,5 +15,7 @@ METADATA = ("changeset", "uid", "user", "visible")
 CHANGES = "op string, " + OBJECTS
 #: version null: the object left the tile in this layer.
 TILE_LOG = "type tinyint, id bigint, tile bigint, version int"
-KEY_LOG = "type tinyint, id bigint, deleted boolean"
+KEY_LOG = "type tinyint, id bigint, deleted boolean, tiles array<bigint>"
+#: Which ways and relations refer to an object: written with each layer that writes them.
+REFS = "member_type tinyint, member_id bigint, parent_type tinyint, parent_id bigint"
 DEFAULT_ZOOM = 14

@@ -43,12 +43,3 @@ def test_tile_ids_round_trip_and_clamp(spark):
     t = df.select(tiles.tile_x(F.col("lon"), 14, True).alias("x"), tiles.tile_y(F.col("lat"), 14, True).alias("y")).withColumn("t", tiles.tile_id(F.col("x"), F.col("y"))).withColumn("b", tiles.tile_bucket(F.col("t")))
     for r in t.select("*", tiles.x_of(F.col("t")).alias("x2"), tiles.y_of(F.col("t")).alias("y2")).collect():
         assert (r.x, r.y) == (r.x2, r.y2) and 0 <= r.x < 16384 and 0 <= r.y < 16384 and r.b == tiles.bucket_of(r.t)
-
-
-def test_log_by_tile_equals_log_by_key(spark):
-    from quadstrata import fixtures as fx
-    from quadstrata.operators import state
-
-    by_key = state.latest(fx.history(spark, SF), ["type", "id"]).filter(~F.col("deleted")).select("id", "tile", "version")
-    by_tile = state.current_tiles(fx.log(spark, SF)).select("id", "tile", "version")
-    assert by_key.exceptAll(by_tile).count() == by_tile.exceptAll(by_key).count() == 0
