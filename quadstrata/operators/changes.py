@@ -91,7 +91,7 @@ def tiled_diff(objects: DataFrame, tiles: DataFrame, changes: DataFrame, zoom: i
     r_touched = r_ids.union(r_follow.select("id")).distinct()
 
     written = kind(alive, NODE).select(*OBJECT_COLUMNS).union(w_all).union(r_all)
-    live = _keyed(n_new, NODE).union(_keyed(w_new, WAY)).union(_keyed(r_new, RELATION))
+    live = hold(_keyed(n_new, NODE).union(_keyed(w_new, WAY)).union(_keyed(r_new, RELATION)))
     old = _keyed(before(NODE, n_ids), NODE).union(_keyed(before(WAY, w_touched), WAY)).union(_keyed(before(RELATION, r_touched), RELATION))
     gone = vacated(old, live).withColumn("version", F.lit(None).cast("int"))
     rows = live.join(written.select("type", "id", "version"), ["type", "id"]).select("type", "id", "tile", "version").union(gone)

@@ -272,33 +272,26 @@ class History:
         id_ = layer_id(changes, timestamp)
         if id_ <= base.head.id:
             raise ValueError(f"a diff at {id_} isn't later than the latest layer, {base.head.id}")
-        with self._settling() as (settle, hold):
+        with self._settling() as settle:
             squashed = settle(squash(changes))
             objects, tiles = base.affected(squashed, settle)
-            diff = tiled_diff(objects, tiles, squashed, self.zoom, hold, nested_relations)
+            diff = tiled_diff(objects, tiles, squashed, self.zoom, settle, nested_relations)
             return self._commit(diff, Layer(id_, "diff", base.head.id, self.zoom, meta or {}, parts=_parts(squashed.count() + objects.count())))
 
     @contextlib.contextmanager
     def _settling(self):
-        """settle: write a table of a change set's size, so that it is computed once and its size is known; hold: keep one that derives from such tables in memory."""
+        """A function that writes a table of a change set's size: it is computed once, and its size on disk tells the planner whether to broadcast it."""
         temp, held = f"{self.path}/_tmp_{uuid.uuid4().hex}", []
 
         def settle(df: DataFrame) -> DataFrame:
             place = f"{temp}/{len(held)}"
             df.write.parquet(place)
-            held.append(None)
+            held.append(place)
             return self.spark.read.schema(df.schema).parquet(place)
 
-        def hold(df: DataFrame) -> DataFrame:
-            held.append(df.persist())
-            return df
-
         try:
-            yield settle, hold
+            yield settle
         finally:
-            for df in held:
-                if df is not None:
-                    df.unpersist()
             with contextlib.suppress(Exception):
                 self.store.remove(temp)
 
@@ -329,7 +322,7 @@ class History:
         if layer is None or any(x.name == layer.name for x in self.layers):
             return None
         view = View(self, run[0], True)
-        with self._settling() as (settle, _):
+        with self._settling() as settle:
             tiles = settle(self.touched_tiles(timestamp, span))
             log = settle(state.compact(view.tile_log().join(tiles, "tile", "left_semi")).select("type", "id", "tile", "version"))
             changed = view._keyed("key_log", KEY_LOG, run).select("type", "id")
@@ -411,14 +404,14 @@ def _write_and_publish(spark: SparkSession, store: Store, path: str, diff: Tiled
     def keyed(df: DataFrame, table: str, kind: str, id_: str) -> None:
         df = df.withColumn("layer_id", F.lit(layer.id).cast("long"))
         if layer.parts == 1:
-            df.coalesce(1).sortWithinPartitions(kind, id_).write.parquet(f"{temp}/{table}")
+            df.repartition(1).sortWithinPartitions(kind, id_).write.parquet(f"{temp}/{table}")
         else:
             df = df.withColumn("part", F.pmod(F.col(id_), F.lit(layer.parts)).cast("int"))
             df.repartitionById(layer.parts, F.col("part")).sortWithinPartitions("part", kind, id_).write.partitionBy("part").parquet(f"{temp}/{table}")
 
     def tiled(df: DataFrame) -> None:
         rows = df.select("type", "id", "tile", "version", F.lit(layer.id).cast("long").alias("layer_id"), tile_bucket(F.col("tile"), layer.zoom).alias("bucket"))
-        rows = rows.coalesce(1) if layer.parts == 1 else rows.repartitionByRange("bucket", "tile", "type", "id")
+        rows = rows.repartition(1) if layer.parts == 1 else rows.repartitionByRange("bucket", "tile", "type", "id")
         rows.sortWithinPartitions("bucket", "tile", "type", "id").write.partitionBy("bucket").parquet(f"{temp}/tile_log")
         store.make(f"{temp}/tile_log")
 

@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import NODE, OBJECTS, RELATION, WAY
+from ..schema import NODE, OBJECTS, RELATION, WAY, arrow_changes
 
 
 def fields(data: bytes | memoryview) -> Iterator[tuple[int, int | memoryview]]:
@@ -152,13 +152,32 @@ class Block:
         return self.row(RELATION, plain(d[1]), self.info(d.get(4)), self.tags(d), members=[(t, i, self.strings[r]) for r, i, t in zip(roles, ids, kinds)] or None)
 
 
-def open_file(path: str):
+def _system(path: str):
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.FileSystem.from_uri("file://" + path) if path.startswith("/") else (fs.LocalFileSystem(), path))
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def open_file(path: str):
+    system, place = _system(path)
     return system.open_input_file(place)
 
 
+def files(path: str) -> list[str]:
+    """The files of a comma-separated list of files and folders."""
+    from pyarrow import fs
+
+    out = []
+    for one in filter(None, (p.strip() for p in path.split(","))):
+        system, place = _system(one)
+        if system.get_file_info(place).type == fs.FileType.Directory:
+            names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(place)) if i.is_file and i.base_name.endswith(".pbf"))
+            out += [f"{one.rstrip('/')}/{n}" for n in names]
+        else:
+            out.append(one)
+    return out
+
+
 def blobs(path: str) -> Iterator[tuple[str, int, int]]:
     """Kind, offset and size of every blob, from the headers alone."""
     with open_file(path) as f:
@@ -172,11 +191,24 @@ def blobs(path: str) -> Iterator[tuple[str, int, int]]:
 
 
 def inflate(blob: bytes) -> bytes:
+    """A blob's content: raw, or by zlib, lzma, lz4 or zstd."""
     d = dict(fields(blob))
     if 1 in d:
         return bytes(d[1])
     if 3 in d:
         return zlib.decompress(d[3])
+    if 4 in d:
+        import lzma
+
+        return lzma.decompress(d[4])
+    if 6 in d:
+        import pyarrow as pa
+
+        return pa.Codec("lz4_raw").decompress(bytes(d[6]), d[2], asbytes=True)
+    if 7 in d:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(d[7], max_output_size=d[2])
     raise ValueError("a blob's compression isn't known")
 
 
@@ -190,18 +222,31 @@ class Reader(DataSourceReader):
         self.path, self.per_task = path, per_task
 
     def partitions(self) -> list[Blobs]:
-        spans = [(at, size) for kind, at, size in blobs(self.path) if kind == "OSMData"]
-        return [Blobs(self.path, spans[k : k + self.per_task]) for k in range(0, len(spans), self.per_task)] or [Blobs(self.path, [])]
-
-    def read(self, partition: Blobs) -> Iterator[tuple]:
+        made = []
+        for one in files(self.path):
+            spans = [(at, size) for kind, at, size in blobs(one) if kind == "OSMData"]
+            made += [Blobs(one, spans[k : k + self.per_task]) for k in range(0, len(spans), self.per_task)]
+        return made or [Blobs("", [])]
+
+    def read(self, partition: Blobs) -> Iterator:
+        """An Arrow batch for each blob."""
+        import pyarrow as pa
+
+        if not partition.spans:
+            return
+        schema = pa.schema(list(arrow_changes())[1:])
         with open_file(partition.path) as f:
             for at, size in partition.spans:
                 f.seek(at)
-                yield from Block(inflate(f.read(size))).objects()
+                columns = list(zip(*Block(inflate(f.read(size))).objects()))
+                if columns:
+                    columns[8] = [None if t is None else list(t.items()) for t in columns[8]]
+                    columns[12] = [None if m is None else [{"type": a, "id": b, "role": c} for a, b, c in m] for m in columns[12]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 class OsmPbf(DataSource):
-    """spark.read.format("osmpbf").load(path); option blobs_per_task."""
+    """spark.read.format("osmpbf").load(path): a file, a folder or a comma-separated list of them; option blobs_per_task."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadstrata.functions import times
 from quadstrata.operators import tiling
 from quadstrata.plans import layers as ly
-from quadstrata.plans.history import History
+from quadstrata.plans.history import History, View
 from quadstrata.schema import CHANGES, NODE, OBJECTS, RELATION, WAY
 
 A, B = 5556 * 16384 + 8374, 8009 * 16384 + 10467
@@ -49,21 +49,21 @@ def keys_in(df):
 
 
 def test_full_layer(spark, make):
-    h = make(node(456414, AT_A), node(456415, AT_A), way(235189, [456414, 456415]), rel(982313, [(0, 456414), (0, 456415), (1, 235189)]), way(1, None))
+    h = make(node(7001, AT_A), node(7002, AT_A), way(8101, [7001, 7002]), rel(9201, [(0, 7001), (0, 7002), (1, 8101)]), way(1, None))
     v = h.latest
-    assert [v.get_key(*k).count() for k in ((0, 456414), (0, 456415), (1, 235189), (2, 982313), (2, 982314), (0, 456413), (1, 235188), (1, 1))] == [1] * 4 + [0] * 4
-    assert keys_in(v.get_tiles([A])) == [(0, 456414), (0, 456415), (1, 235189), (2, 982313)]
+    assert [v.get_key(*k).count() for k in ((0, 7001), (0, 7002), (1, 8101), (2, 9201), (2, 9202), (0, 7000), (1, 8100), (1, 1))] == [1] * 4 + [0] * 4
+    assert keys_in(v.get_tiles([A])) == [(0, 7001), (0, 7002), (1, 8101), (2, 9201)]
     assert v.scan().count() == 4 and keys_in(v.get_tiles([B])) == []
-    n = v.get_key(0, 456414).collect()[0]
+    n = v.get_key(0, 7001).collect()[0]
     assert (n.changeset, n.uid, n.user, n.visible, n.tags) == (None, None, None, None, {"k": "v"})
     assert [r.tile for r in v.tiles().collect()] == [A] and v.owner(A).kind == "full"
-    want = spark.createDataFrame([(0, 456414), (0, 5)], "type tinyint, id bigint")
-    assert {(r.id, r.tile) for r in v.tiles_for(want).collect()} == {(456414, A), (5, None)}
+    want = spark.createDataFrame([(0, 7001), (0, 5)], "type tinyint, id bigint")
+    assert {(r.id, r.tile) for r in v.tiles_for(want).collect()} == {(7001, A), (5, None)}
 
 
 @pytest.mark.parametrize("snapshot", [False, True])
 def test_scenarios(spark, make, snapshot):
-    n1, n2 = 4561327, 4561328
+    n1, n2 = 7101, 7102
     h = make(node(1, (0.0, 0.0)))
     step = [0]
 
@@ -72,13 +72,13 @@ def test_scenarios(spark, make, snapshot):
         (h.snapshot_of if snapshot else h.apply_diff)(change(spark, *rows), T0 + step[0] * HOUR)
         return h.latest
 
-    v = apply(("create", node(n1, AT_A)), ("create", node(n2, AT_A)), ("create", way(45327, [n1, n2])))
-    assert keys_in(v.get_tiles([A])) == [(0, n1), (0, n2), (1, 45327)]
+    v = apply(("create", node(n1, AT_A)), ("create", node(n2, AT_A)), ("create", way(8201, [n1, n2])))
+    assert keys_in(v.get_tiles([A])) == [(0, n1), (0, n2), (1, 8201)]
     v = apply(("modify", node(n1, AT_B, 2)), ("modify", node(n2, AT_B, 2)))  # the way follows its nodes
-    assert keys_in(v.get_tiles([A])) == [] and keys_in(v.get_tiles([B])) == [(0, n1), (0, n2), (1, 45327)]
-    assert v.get_key(0, n1).collect()[0].lat == 4.0 and v.get_key(1, 45327).count() == 1
-    v = apply(("create", rel(9, [(1, 45327)])), ("delete", node(n2, AT_B, 3)))
-    assert v.get_key(0, n2).count() == 0 and keys_in(v.get_tiles([B])) == [(0, n1), (1, 45327), (2, 9)]
+    assert keys_in(v.get_tiles([A])) == [] and keys_in(v.get_tiles([B])) == [(0, n1), (0, n2), (1, 8201)]
+    assert v.get_key(0, n1).collect()[0].lat == 4.0 and v.get_key(1, 8201).count() == 1
+    v = apply(("create", rel(9, [(1, 8201)])), ("delete", node(n2, AT_B, 3)))
+    assert v.get_key(0, n2).count() == 0 and keys_in(v.get_tiles([B])) == [(0, n1), (1, 8201), (2, 9)]
     assert h.view(T0 + HOUR).get_key(0, n2).count() == 1  # time travel
     assert (v.head.kind == "snapshot") == snapshot
     if snapshot:
@@ -200,6 +200,38 @@ def test_chain_equals_bulk_build_of_the_final_objects(spark, tmp_path, seed):
     agree(h.latest)
 
 
+def test_large_layers_are_split_and_looked_up_by_folder(spark, tmp_path):
+    objects = [node(i, AT_A if i % 2 else AT_B) for i in range(40)] + [way(100 + i, [i, i + 1]) for i in range(20)] + [rel(200, [(1, 100)]), rel(201, [(2, 200)])]
+    path = str(tmp_path / "db")
+    h = History.create(spark, path, spark.createDataFrame(objects, OBJECTS), T0, part_rows=10)
+    assert h.layers[0].parts == 7 and h.latest.scan().count() == len(objects)
+    asked = spark.createDataFrame([(0, 3), (1, 104)], "type tinyint, id bigint")
+    for df in (h.latest.get(asked), h.latest.tiles_of(asked), h.latest.parents(asked)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("PartitionFilters: [part#") == plan.count("FileScan") - plan.count("PartitionFilters: []")
+        assert "part#" in plan and "IN (3,6)" in plan
+    assert keys_in(h.latest.get(asked)) == [(0, 3), (1, 104)] and {(r.type, r.id) for r in h.latest.parents(asked).collect()} == {(1, 102), (1, 103)}
+    seen = []
+    real = View._keyed
+    View._keyed = lambda self, table, schema, layers=None, ids=None: seen.append((table, ids)) or real(self, table, schema, layers, ids)
+    try:
+        h.apply_diff(change(spark, ("modify", node(3, AT_B, 2))), T0 + HOUR)
+    finally:
+        View._keyed = real
+    assert seen and all(ids is not None for _, ids in seen)  # a diff looks up keys and scans no table whole
+    want = [node(3, AT_B, 2) if o[:2] == (NODE, 3) else o for o in objects]
+    assert {(r.type, r.id, r.tile) for r in h.latest.tiled().collect()} == {(r.type, r.id, r.tile) for r in tiling.object_tiles(spark.createDataFrame(want, OBJECTS)).collect()}
+
+
+def test_nested_relations(spark, tmp_path):
+    objects = [node(1, AT_A), rel(10, [(0, 1)]), rel(11, [(2, 10)]), rel(12, [(2, 11)])]
+    in_tiles = lambda n: {(r.type, r.id) for r in tiling.object_tiles(spark.createDataFrame(objects, OBJECTS), nested_relations=n).collect()}
+    assert [sum(t == RELATION for t, _ in in_tiles(n)) for n in (0, 1, 2)] == [1, 2, 3]
+    h = History.create(spark, str(tmp_path / "db"), spark.createDataFrame(objects, OBJECTS), T0)
+    h.apply_diff(change(spark, ("modify", rel(11, [(2, 10)], 2))), T0 + HOUR, nested_relations=True)
+    assert keys_in(h.latest.get_tiles([A])) == [(0, 1), (2, 10), (2, 11)]
+
+
 def test_pushdown(make):
     h = make(node(1, AT_A), node(2, AT_B))
     plan = h.latest.tile_log(tiles=[A])._jdf.queryExecution().executedPlan().toString()

@@ -1,3 +1,5 @@
+import gzip
+import lzma
 import struct
 import zlib
 from datetime import datetime, timezone
@@ -5,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from quadstrata import cli
+from quadstrata.functions.times import to_unix
 from quadstrata.plans.files import Store
 from quadstrata.plans.history import History
 from quadstrata.plans.locks import is_locked, lock
@@ -27,6 +30,17 @@ def test_change_file(spark, tmp_path):
     assert got[("create", 0, 1)].tags == {"a": "b"} and got[("create", 1, 7)].nodes == [1, 2] and got[("modify", 0, 2)].lon == 50.0
 
 
+def test_change_file_is_scanned_once_and_tags_may_repeat(spark, tmp_path):
+    text = OSC.format(t="2020-01-01T00:00:00Z").replace('<tag k="a" v="b"/>', '<tag k="a" v="b"/><tag k="x" v="&amp;1"/><tag k="a" v="last"/>')
+    (tmp_path / "c.osc.gz").write_bytes(gzip.compress(text.encode()))
+    df = osm_xml.read_changes(spark, str(tmp_path / "c.osc.gz"))
+    got = {(r.op, r.type, r.id): r for r in df.collect()}
+    assert len(got) == 4 and got[("create", 0, 1)].tags == {"a": "last", "x": "&1"} and got[("create", 0, 1)].ts == datetime(2020, 1, 1)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    (tmp_path / "m.osm").write_text('<osm><node id="1" version="1" lat="1" lon="2"><tag k="a" v="b"/><tag k="a" v="last"/></node></osm>')
+    assert osm_xml.read_objects(spark, str(tmp_path / "m.osm")).collect()[0].tags == {"a": "last"}
+
+
 def test_xml_round_trip(spark, tmp_path):
     t = datetime(2020, 1, 1)
     rows = [(0, 1, 1, t, None, None, None, None, {"a": "b"}, 4.0, 50.0, None, None), (1, 7, 2, t, None, None, None, None, None, None, None, [1, 1], None), (2, 9, 3, t, None, None, None, None, {"x": "y"}, None, None, None, [(1, 7, "outer"), (0, 1, "")])]
@@ -55,7 +69,7 @@ pk = lambda k, vs: msg(k, b"".join(map(vi, vs)))
 deltas = lambda vs: [zz(b - a) for a, b in zip([0, *vs], vs)]
 
 
-def pbf():
+def pbf(pack=lambda data: msg(3, zlib.compress(data))):
     strings = b"".join(msg(1, s) for s in (b"", b"name", b"x", "häus".encode(), b"outer"))
     info = pk(1, [1, 2]) + pk(2, deltas([1577836800, 1577836860])) + pk(3, deltas([5, 6])) + pk(4, deltas([7, 7])) + pk(5, deltas([2, 2]))
     dense = msg(2, pk(1, deltas([10, -3])) + msg(5, info) + pk(8, deltas([500000000, 40000000])) + pk(9, deltas([40000000, 500000000])) + pk(10, [1, 3, 0, 0]))
@@ -65,7 +79,7 @@ def pbf():
     block = msg(1, strings) + b"".join(msg(2, g) for g in (dense, single, way, rel))
     file = b""
     for kind, data in ((b"OSMHeader", b""), (b"OSMData", block), (b"OSMData", block)):
-        blob = num(2, len(data)) + msg(3, zlib.compress(data)) if data else msg(1, data)
+        blob = num(2, len(data)) + pack(data) if data else msg(1, data)
         head = msg(1, kind) + num(3, len(blob))
         file += struct.pack(">I", len(head)) + head + blob
     return file
@@ -85,6 +99,113 @@ def test_pbf(spark, tmp_path):
     assert df.select(F.max(F.unix_seconds("ts"))).first()[0] == 1577836860
 
 
+def test_pbf_compressions_and_folders(spark, tmp_path):
+    import pyarrow as pa
+    import zstandard
+
+    packs = [lambda d: msg(1, d), lambda d: msg(4, lzma.compress(d)), lambda d: msg(6, pa.Codec("lz4_raw").compress(d, asbytes=True)), lambda d: msg(7, zstandard.compress(d))]
+    for k, pack in enumerate(packs):
+        (tmp_path / f"{k}.osm.pbf").write_bytes(pbf(pack))
+    one = {tuple(map(str, r)) for r in osm_pbf.read_objects(spark, str(tmp_path / "0.osm.pbf")).collect()}
+    for k in range(1, 4):
+        assert {tuple(map(str, r)) for r in osm_pbf.read_objects(spark, str(tmp_path / f"{k}.osm.pbf")).collect()} == one
+    assert osm_pbf.read_objects(spark, str(tmp_path)).count() == 40
+
+
+def start_at_22(spark, db):
+    t = datetime(2020, 1, 1)
+    return History.create(spark, db, spark.createDataFrame([(0, i, 1, t, None, None, None, None, None, 4.0, 50.0, None, None) for i in (2, 3)], OBJECTS), datetime(2020, 1, 1, 22))
+
+
+def test_late_files_raise_and_compaction_is_made_up_for(spark, tmp_path):
+    import pytest
+
+    db = str(tmp_path / "db")
+    start_at_22(spark, db)
+    for name in ("20200101-233000", "20200102-000000", "20200101-231500"):
+        (tmp_path / f"{name}.osc").write_text(OSC.format(t="2020-01-01T23:00:00Z"))
+    assert len(replication.apply_file(spark, db, str(tmp_path / "20200101-233000.osc"))) == 1
+    h = History(spark, db)
+    h.apply_diff(osm_xml.read_changes(spark, str(tmp_path / "20200102-000000.osc")), datetime(2020, 1, 2), {"file": "20200102-000000.osc"})  # and then it fails
+    assert [x.timespan for x in replication.apply_file(spark, db, str(tmp_path / "20200102-000000.osc"))] == [7200]
+    assert replication.apply_file(spark, db, str(tmp_path / "20200102-000000.osc")) == []
+    with pytest.raises(replication.LateFile):
+        replication.apply_file(spark, db, str(tmp_path / "20200101-231500.osc"))
+
+
+def test_replication_folders(spark, tmp_path):
+    db = str(tmp_path / "db")
+    start_at_22(spark, db)
+
+    def publish(folder, n, moment, latest):
+        state = f"#a comment\nsequenceNumber={n}\ntimestamp={moment:%Y-%m-%dT%H}\\:{moment:%M}\\:{moment:%S}Z\n"
+        place = tmp_path / folder / f"{n:09d}"[:3] / f"{n:09d}"[3:6]
+        place.mkdir(parents=True, exist_ok=True)
+        (place / f"{n % 1000:03d}.state.txt").write_text(state)
+        (place / f"{n % 1000:03d}.osc.gz").write_bytes(gzip.compress(OSC.format(t=f"{moment:%Y-%m-%dT%H:%M:%SZ}").encode()))
+        if latest:
+            (tmp_path / folder / "state.txt").write_text(state)
+
+    for k in range(4):
+        publish("hour", 70_000 + k, datetime(2020, 1, 1, 20 + k), k == 3)
+    for k in range(5):
+        publish("minute", 4_000_998 + k, datetime(2020, 1, 1, 22, 58 + k) if k < 2 else datetime(2020, 1, 1, 23, k - 2), k == 4)
+    made = replication.catch_up(spark, db, str(tmp_path / "hour"), str(tmp_path / "minute"), to_unix(datetime(2020, 1, 1, 23, 2, 30)))
+    h = History(spark, db)
+    assert [(x.meta.get("period"), x.meta.get("sequence_number")) for x in made if x.meta] == [(3600, 70_003), (60, 4_001_001), (60, 4_001_002)]
+    assert h.latest_id == to_unix(datetime(2020, 1, 1, 23, 2)) and {(r.type, r.id) for r in h.latest.scan().collect()} == {(0, 1), (0, 2), (1, 7)}
+    publish("minute", 4_001_003, datetime(2020, 1, 1, 23, 3), True)
+    assert len(replication.catch_up(spark, db, None, str(tmp_path / "minute"), h.latest_id + 90)) == 1  # by its number
+    assert replication.catch_up(spark, db, None, str(tmp_path / "minute"), h.latest_id + 90) == []
+
+
+def test_publishing_survives_a_stop(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from quadstrata.plans import layers as ly
+
+    db = str(tmp_path / "db")
+    h = start_at_22(spark, db)
+    (tmp_path / "c.osc").write_text(OSC.format(t="2020-01-01T23:00:00Z"))
+    apply = lambda: History(spark, db).apply_diff(osm_xml.read_changes(spark, str(tmp_path / "c.osc")), datetime(2020, 1, 1, 23))
+    for step in ("write", "move"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, lambda *a, **k: (_ for _ in ()).throw(OSError("stopped")))
+            with pytest.raises(OSError):
+                apply()
+        assert not h.try_reload() and len(h.layers) == 1
+    (tmp_path / "db" / "20200101-230000_00000003600_diff" / "objects").mkdir(parents=True)  # what a stop may leave
+    assert len(History(spark, db).layers) == 1
+    assert apply().kind == "diff" and len(History(spark, db).layers) == 2 and ly.META == "meta.json"
+    with pytest.raises(ValueError):
+        apply()
+
+
+def test_a_lock_is_taken_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quadstrata.plans.locks import take
+
+    store, place = Store(spark), str(tmp_path / "x.lock")
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(x is not None for x in pool.map(lambda _: take(store, place, 60), range(24))) == 1
+    store.write(place, '{"time": 0}')  # past its limit
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(x is not None for x in pool.map(lambda _: take(store, place, 60), range(24))) == 1
+
+
+def test_a_configuration_builds_and_updates(spark, tmp_path):
+    import json
+
+    (tmp_path / "m.osm.pbf").write_bytes(pbf())
+    (tmp_path / "changes").mkdir()
+    (tmp_path / "changes" / "20200101-230000.osc.gz").write_bytes(gzip.compress(OSC.format(t="2020-01-01T23:00:00Z").encode()))
+    (tmp_path / "c.json").write_text(json.dumps({"db": str(tmp_path / "db"), "source": str(tmp_path / "m.osm.pbf"), "changes": str(tmp_path / "changes"), "snapshots": ["latest"]}))
+    for _ in range(2):
+        assert cli.main(["run", str(tmp_path / "c.json")], spark) == 0
+    assert [x.kind for x in History(spark, str(tmp_path / "db")).layers] == ["full", "snapshot", "diff"]
+
+
 def test_stream_applies_each_file_once_and_compacts(spark, tmp_path):
     db, folder = str(tmp_path / "db"), tmp_path / "changes"
     folder.mkdir()
