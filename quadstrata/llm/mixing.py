@@ -8,11 +8,18 @@ smallest first, up to the token budget by prefix sums.  The document at the edge
 gives only the words that still fit, so a source's taken words are its target
 rounded down.
 
-The prefix sum never sorts a whole source in one task: keys fall into ``bins`` per
-source, bins are summed first, and only the bin where the budget ends is sorted.
-
-Null texts have no words; null sources are one source, last.  Ties of the key go by
-id, then row number; a null id hashes as the empty text.
+Quality is learned from ``labels.quality``: the share of good documents among the labelled
+ones of about the same length and mean word length (``quality_cells``, at most 256 cells, all
+labelled rows counted), as a weight of 0.5 to 1.  Without labels all weights are 0.75.
+
+The prefix sum never sorts a whole source in one task: keys fall into bins, of which there
+are more the more documents a source has; bins are summed first, and only the bin where the
+budget ends is sorted.
+
+Null texts have no words; null sources are one source, last.  Ties of the key go by id, size,
+then row number; a null id hashes as the empty text, repeated ids have one key.  Texts of any
+length are counted whole.  An empty table gives no row; without any words nothing is taken.
+The columns doc_id, source and text are read, and of those that the mix adds none can clash.
 """
 
 from __future__ import annotations
@@ -29,10 +36,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def quality(n_chars: Column, size: Column) -> Column:
-    """1 for texts of at least 20 words of 3 to 12 characters on average, else 0.5."""
-    mean = n_chars / F.greatest(size, F.lit(1))
-    return F.when((size >= 20) & (mean >= 3.0) & (mean <= 12.0), 1.0).otherwise(0.5)
+def cell_of(n_chars: Column, size: Column) -> Column:
+    """0 to 255: mean length of words and, on a log scale, their number, sixteen steps each."""
+    mean = F.least(F.floor(n_chars / F.greatest(size, F.lit(1))), F.lit(15))
+    many = F.least(F.floor(F.log2(size + F.lit(1))), F.lit(15))
+    return (mean * 16 + many).cast("int")
+
+
+def quality_cells(sized: DataFrame, labels: DataFrame) -> DataFrame:
+    """q_cell, quality of the labelled rows of sized (doc_id, cell): 0.5 + 0.5 (good + 1) / (labelled + 2)."""
+    marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    seen = sized.select("doc_id", "cell").join(marked, "doc_id").groupBy("cell").agg(F.sum(F.col("quality").cast("long")).alias("good"), F.count("*").alias("n"))
+    return seen.select(F.col("cell").alias("q_cell"), (F.lit(0.5) + F.lit(0.5) * (F.col("good") + 1) / (F.col("n") + 2)).alias("quality"))
 
 
 def uniform(id_text: Column, salt: str) -> Column:
@@ -55,12 +70,18 @@ def targets(totals: DataFrame, budget: float, max_epochs: float, weights: tuple[
     return t.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise((F.col("all") - F.col("cap_sum")) * F.col("w") / F.when(F.col("w_free") > 0, F.col("w_free"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, bins: int = 256, salt: str = ":mix") -> DataFrame:
-    """One row per input row: rid, doc_id, source, size, source_size, target, taken."""
+def mix_sources(docs: DataFrame, labels: DataFrame | None = None, budget: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, bin_rows: int = 50_000, salt: str = ":mix") -> DataFrame:
+    """One row per input row: rid, doc_id, source, size, source_size, target, taken.  labels: doc_id, quality; bin_rows: documents in a bin, about."""
     text, id_text = text_or_empty(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.length(text).alias("len"), uniform(id_text, salt).alias("u"))
-    sized = sized.withColumn("key", -F.log("u") / quality(F.col("len"), F.col("size"))).withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * bins).cast("int")).drop("u", "len")
-    sized = materialise(sized, "mix")
+    sized = materialise(sized.withColumn("cell", cell_of(F.col("len"), F.col("size"))).drop("len"), "mix")
+    if labels is None:
+        weighed = sized.withColumn("quality", F.lit(0.75))
+    else:
+        weighed = sized.join(F.broadcast(quality_cells(sized, labels)), F.col("cell") == F.col("q_cell"), "left").drop("q_cell").withColumn("quality", F.coalesce("quality", F.lit(0.75)))
+    most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    bins = max(256, -(-most // bin_rows))
+    sized = weighed.withColumn("key", -F.log("u") / F.col("quality")).withColumn("bin", F.floor((1.0 - F.exp(-0.75 * F.col("key"))) * bins).cast("int")).drop("u", "cell", "quality")
     by_bin = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     totals = by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     plan = targets(totals, budget, max_epochs, weights)
@@ -71,7 +92,7 @@ def mix_sources(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, w
     cells = cells.join(plan, cells["cell_source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
     joined = sized.join(cells, sized["source"].eqNullSafe(cells["cell_source"]) & (sized["bin"] == cells["cell_bin"])).drop("cell_source", "cell_bin")
     edge = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bin_size"))
-    inner = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     whole = joined.filter(~edge).withColumn("part", F.when(F.col("before") < F.col("rest"), F.col("size")).otherwise(0))
     cut = joined.filter(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0)))))
     return whole.unionByName(cut).select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))

@@ -35,7 +35,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.toxicity(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+    found = toxicity.toxicity(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+    return found.withColumn("offending", F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +92,14 @@ WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(coalesce(text, '')) AS n,
          (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents
+), cells AS (
+  SELECT *, CAST(least(floor(n / greatest(size, 1)), 15) * 16 + least(floor(log2(size + 1)), 15) AS INTEGER) AS cell FROM d
+), marked AS (
+  SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), learned AS (
+  SELECT cell, 0.5::DOUBLE + 0.5::DOUBLE * (CAST(sum(quality) AS BIGINT) + 1) / (count(*) + 2) AS quality FROM cells JOIN marked USING (doc_id) GROUP BY cell
 ), k AS (
-  SELECT doc_id, source, size, -ln(u) / CASE WHEN size >= 20 AND n / greatest(size, 1) BETWEEN 3.0 AND 12.0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS key FROM d
+  SELECT doc_id, source, size, -ln(u) / coalesce(quality, 0.75::DOUBLE) AS key FROM cells LEFT JOIN learned USING (cell)
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source
 ), r AS (
@@ -114,7 +121,7 @@ WITH d AS (
   SELECT *, CAST(floor(target - epochs * source_size) AS BIGINT) AS left_over FROM e
 )
 SELECT k.doc_id, k.size, m.source_size, m.target,
-       CAST(m.epochs * k.size + greatest(0, least(k.size, m.left_over - coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+       CAST(m.epochs * k.size + greatest(0, least(k.size, m.left_over - coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
 FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source
 """
 

@@ -30,6 +30,8 @@ from .common import join_spread, materialise, without
 from .graph import components
 
 SEED = 42
+#: Nodes of up to so many leaves are compared leaf by leaf.
+FEW = 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -92,44 +94,60 @@ def rotate(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Forest:
-    """Which leaves are joined: union by label, whole arrays at a time."""
+    """Which leaves are joined: union by label, whole arrays at a time.
+
+    A join touches what it joins; the labels of all leaves, which serve to skip node pairs that are
+    one class already, are brought up to date only after every n / 16 joins (older ones skip less).
+    """
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.parent = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
         self.edges: list[np.ndarray] = []
-        self._runs()
+        self.joined, self.every = 0, max(256, n // 16)
+        self._refresh()
 
-    def _runs(self) -> None:
-        self.run = np.concatenate(([0], np.cumsum(self.label[1:] != self.label[:-1])))
+    def _refresh(self) -> None:
+        up = self.parent
+        while True:
+            further = up[up]
+            if (further == up).all():
+                break
+            up = further
+        self.label, self.parent = up, up.copy()
+        self.run = np.concatenate(([0], np.cumsum(up[1:] != up[:-1], dtype=np.int32)))
+        self.joined = 0
+
+    def root(self, x: np.ndarray) -> np.ndarray:
+        """The least leaf known of the class of each leaf; shortens the paths that it walks."""
+        top = self.parent[x]
+        while True:
+            up = self.parent[top]
+            if (up == top).all():
+                self.parent[x] = top
+                return top
+            self.parent[x] = up
+            top = up
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Links a-b; keeps those that join two classes yet apart, one at a time where they compete."""
-        changed = False
-        while True:
-            x, y = self.label[a], self.label[b]
+        while len(a):
+            x, y = self.root(a), self.root(b)
             apart = x != y
-            if not apart.any():
-                break
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                break
             low, high = np.minimum(x, y), np.maximum(x, y)
             order = np.lexsort((low, high))
             first = np.concatenate(([True], high[order][1:] != high[order][:-1]))
             pick = order[first]  # each class hangs below one smaller class: no cycle
             self.edges.append(np.stack([a[pick], b[pick]], axis=1))
-            up = np.arange(len(self.label))
-            up[high[pick]] = low[pick]
-            while True:
-                further = up[up]
-                if (further == up).all():
-                    break
-                up = further
-            self.label = up[self.label]
-            changed = True
-        if changed:
-            self._runs()
+            self.parent[high[pick]] = low[pick]
+            self.joined += len(pick)
+        if self.joined >= self.every:
+            self._refresh()
 
     def same(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-        """Whether all leaves of [a0, a1) and [b0, b1) are one class already."""
+        """Whether all leaves of [a0, a1) and [b0, b1) are known to be one class."""
         return (self.run[a0] == self.run[a1 - 1]) & (self.run[b0] == self.run[b1 - 1]) & (self.label[a0] == self.label[b0])
 
 
@@ -152,16 +170,19 @@ def trie_links(keys: np.ndarray, lengths: list[int], chunk: int = 1 << 18) -> np
         a0, a1, b0, b1, d = (v[live] for v in (a0, a1, b0, b1, d))
         if not len(a0):
             continue
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if single.any():  # two leaves: what is left of the path at once
-            i, j, far = a0[single], b0[single], d[single]
-            x = keys[i] ^ keys[j]
-            ok, at = np.ones(len(i), bool), 0
-            for k, length in enumerate(lengths):
-                at += length
-                ok &= np.bitwise_count(x >> np.uint64(64 - at)) <= k
-            forest.join(i[ok], j[ok])
-            a0, a1, b0, b1, d = (v[~single] for v in (a0, a1, b0, b1, d))
+        few = np.maximum(a1 - a0, b1 - b0) <= FEW
+        if few.any():  # few leaves each: what is left of their paths at once
+            at = np.flatnonzero(few)
+            for k in range(0, len(at), chunk >> 3):
+                part = at[k : k + (chunk >> 3)]
+                part = part[~forest.same(a0[part], a1[part], b0[part], b1[part])]
+                i, j = near(keys, a0[part], a1[part], b0[part], b1[part], len(lengths) - 1)
+                x, ok, bits = keys[i] ^ keys[j], np.ones(len(i), bool), 0
+                for n_block, length in enumerate(lengths):
+                    bits += length
+                    ok &= np.bitwise_count(x >> np.uint64(64 - bits)) <= n_block
+                forest.join(i[ok], j[ok])
+            a0, a1, b0, b1, d = (v[~few] for v in (a0, a1, b0, b1, d))
             if not len(a0):
                 continue
         if len(a0) > chunk:
@@ -178,13 +199,28 @@ def trie_links(keys: np.ndarray, lengths: list[int], chunk: int = 1 << 18) -> np
             ok = (x0 < x1) & (y0 < y1) & (d + cost <= most)
             if cost and x0 is am:
                 ok &= ~equal  # the mirror image of a pair inside one node
-            one = (x0 == y0) & (x1 == y1) & (x1 - x0 == 1)
-            ok &= ~one  # a leaf and itself
+            ok &= ~((x0 == y0) & (x1 - x0 == 1))  # a leaf and itself
             made.append((x0[ok], x1[ok], y0[ok], y1[ok], d[ok] + cost))
         todo.append((depth + 1, *(np.concatenate(v) for v in zip(*made))))
     return np.concatenate(forest.edges) if forest.edges else np.empty((0, 2), np.int64)
 
 
+def near(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves i of [a0, a1) and j > i or of another node [b0, b1) that differ in at most budget bits."""
+    n_a, n_b, twin = a1 - a0, b1 - b0, a0 == b0
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for s in range(int(n_a.max(initial=0))):
+        row = np.flatnonzero(n_a > s)
+        mine = keys[a0[row] + s]
+        for t in range(int(n_b[row].max(initial=0))):
+            own = n_b[row] > t if s < t else (n_b[row] > t) & ~twin[row]
+            r = row[own]
+            hit = np.bitwise_count(mine[own] ^ keys[b0[r] + t]) <= budget
+            if hit.any():
+                found.append((a0[r[hit]] + s, b0[r[hit]] + t))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
 def split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
     """First leaf in each [lo, hi) with the bit set; the leaves are sorted and share the bits above."""
     mark = ((keys[lo] >> bit) | np.uint64(1)) << bit

@@ -156,6 +156,68 @@ def test_noisy_or_finds_sentences(none):
     assert toxicity.toxicity(none, m).count() == 0 and toxicity.keep_clean(none, m).columns == none.columns
 
 
+def brute_score(model, text):
+    """Noisy-or by its definition: one background sentence, and the three distinct sentences with most above it."""
+    seen = {frozenset(re.findall(r"[^\W\d_]+", x)) for x in re.split(r"[.!?\n]", text.lower())}
+    above = sorted((sum(model.weights.features.get(f, 0.0) for w in s for f in toxicity.features_of(w)) for s in seen), reverse=True)[:3]
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    clean = 1 - sig(model.bias)
+    for z in above:
+        if z > 0:
+            clean *= (1 - sig(model.bias + z)) / (1 - sig(model.bias))
+    return 1 - clean
+
+
+def test_score_and_sentences_against_brute_force(spark, docs, rows):
+    words = ["idiot", "the", "of", "x1", "straße", "naïve", "see", "it"]
+    model = toxicity.Model({w: k - 1.5 for k, w in enumerate(words)} | {"strass*": 0.5}, -4.0)
+    got = toxicity.toxicity(docs, model, 0.3, 0.2).collect()
+    want = Counter((r[0], round(brute_score(model, r[1] or ""), 9)) for r in rows)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == want
+    texts = {r[0]: r[1] for r in rows if r[0] not in (None, 5)}
+    for r in got:
+        if r.doc_id in texts and r.predicted:
+            p = {(a, b): x for a, b, x in model.sentences(texts[r.doc_id])}
+            assert {(s.start, s.end) for s in r.offending} == {s for s, x in p.items() if x >= 0.2} | {(r.worst_start, r.worst_end)}
+        elif not r.predicted:
+            assert r.offending == [] and r.worst_start is None
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    n_d, n_s, n_w = 30, 120, 25
+    doc = np.sort(rng.integers(0, n_d, n_s))
+    sent, word = np.repeat(np.arange(n_s), 3), rng.integers(0, n_w, 3 * n_s)
+    y, w, b = rng.integers(0, 2, n_d).astype(float), rng.normal(0, 1, n_w), -2.0
+    loss = lambda w, b: toxicity.objective(w, b, word, sent, doc, y, 0.5)[0]
+    _, dw, db = toxicity.objective(w, b, word, sent, doc, y, 0.5)
+    e = 1e-6
+    for k in range(n_w):
+        step = np.eye(n_w)[k] * e
+        assert abs((loss(w + step, b) - loss(w - step, b)) / (2 * e) - dw[k]) < 1e-5
+    assert abs((loss(w, b + e) - loss(w, b - e)) / (2 * e) - db) < 1e-5
+    by_hand = 0.0
+    for d in range(n_d):
+        above = sorted((sum(w[x] for x in word[sent == s]) for s in np.flatnonzero(doc == d)), reverse=True)[:3]
+        sig = lambda z: 1 / (1 + math.exp(-z))
+        clean = (1 - sig(b)) * math.prod((1 - sig(b + z)) / (1 - sig(b)) for z in above if z >= 0)
+        by_hand -= math.log(1 - clean) if y[d] else math.log(clean)
+    assert abs(by_hand / n_d + 0.25 * (w * w).sum() / n_d - loss(w, b)) < 1e-9
+
+
+def test_training_sample_is_bounded_in_characters(spark):
+    d = spark.range(400).selectExpr("id as doc_id", "case when id = 7 then repeat('x ', 5000) else repeat('word ', 100) end as text")
+    lab = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    seen = []
+    real = toxicity.train
+    toxicity.train = lambda texts, y, **k: seen.extend(zip(texts, y)) or real(texts, y, **k)
+    try:
+        toxicity.fit(d, lab, max_chars=40_000)
+    finally:
+        toxicity.train = real
+    assert {y for _, y in seen} == {0, 1} and all(sum(len(t) for t, y in seen if y == k) <= 40_000 for k in (0, 1)) and max(len(t) for t, _ in seen) == 500
+
+
 def test_length_alone_is_not_toxic():
     clean = [f"the house number {k} is blue. we walk home." for k in range(200)]
     m = toxicity.train(clean + [f"{t} you are a rotten fool." for t in clean], [0] * 200 + [1] * 200)
@@ -214,10 +276,23 @@ def test_mix(docs, rows, none):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
+def test_mix_reruns_agree_and_quality_draws(spark, docs, rows):
+    lab = spark.createDataFrame([(r[0], int(bool(r[1]) and len(r[1]) > 60)) for r in rows if r[0] is not None] + [(4, None), (None, 1)], "doc_id bigint, quality int")
+    runs = [bag(mixing.mix_sources(t, lab, bin_rows=b), "doc_id", "source", "size", "target", "taken") for t, b in ((docs, 50_000), (docs, 50_000), (docs.repartition(3, "doc_id"), 1))]
+    assert runs[0] == runs[1]
+    once = lambda run: Counter({k: v for k, v in run.items() if k[0] not in (None, 5)})
+    assert once(runs[0]) == once(runs[2])
+    many = spark.range(20_000).selectExpr("id as doc_id", "'s' as source", "case when id % 2 = 0 then 'good words in here' else 'b' end as text")
+    lab = spark.range(2000).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as quality")
+    got = mixing.mix_sources(many, lab, budget=0.5).selectExpr("doc_id % 2 = 0 as good", "taken = size as drawn").groupBy("good").agg(F.avg(F.col("drawn").cast("int")).alias("share")).collect()
+    share = {r.good: r.share for r in got}
+    assert share[True] > share[False] + 0.1
+
+
 def test_pipeline_mixes_whole_texts(spark, docs, rows, sf):
     import corpus_pipeline
 
-    taken = mixing.mix_sources(docs).filter("taken > 0").collect()
+    taken = mixing.mix_sources(docs, queries.labels(spark, sf)).filter("taken > 0").collect()
     got = corpus_pipeline.mix(spark, docs, sf).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in got} <= {(r[0], r[1], r[4]) for r in rows}
     assert len(got) == sum(-(-r.taken // r.size) for r in taken) and any(r.taken % r.size for r in taken)
