@@ -209,6 +209,12 @@ def near(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: n
     """Leaves i of [a0, a1) and j > i or of another node [b0, b1) that differ in at most budget bits."""
     n_a, n_b, twin = a1 - a0, b1 - b0, a0 == b0
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    if len(a0) <= 8:  # few nodes: each pair of them at once
+        for i, m, j, n, same in zip(a0.tolist(), n_a.tolist(), b0.tolist(), n_b.tolist(), twin.tolist()):
+            hit = np.bitwise_count(keys[i : i + m, None] ^ keys[None, j : j + n]) <= budget
+            s, t = np.nonzero(np.triu(hit, 1) if same else hit)
+            found.append((i + s, j + t))
+        return tuple(np.concatenate(v) for v in zip(*found))
     for s in range(int(n_a.max(initial=0))):
         row = np.flatnonzero(n_a > s)
         mine = keys[a0[row] + s]
