@@ -85,6 +85,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows of which dropped has the rid."""
-    return numbered(docs).join(dropped, "rid", "left_anti").select("doc.*")
+def checked(id_now: Column, id_then: Column) -> Column:
+    """True; stops the job where a row number has come to mean another id, because docs didn't repeat its rows."""
+    return F.when(id_now.eqNullSafe(id_then), True).otherwise(F.raise_error(F.lit("rows have changed their numbers between two reads of docs: materialise docs first")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows of which dropped has the rid; dropped has their ids too, which must agree."""
+    gone = dropped.select("rid", F.col(id_col).alias("id_then"), F.lit(True).alias("gone"))
+    kept = numbered(docs).join(gone, "rid", "left").filter(F.when(F.col("gone"), ~checked(F.col("doc")[id_col], F.col("id_then"))).otherwise(True))
+    return kept.select("doc.*")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, text_or_empty
+from .common import checked, materialise, numbered, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -100,16 +100,16 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, budget: float
 
 def whole_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix in whole texts: each document taken / size times, rounded up, so a source exceeds its target by less than one text; documents without words don't appear."""
-    taken = mix_sources(docs, **options).filter("taken > 0").select("rid", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    rows = numbered(docs).join(taken, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    taken = mix_sources(docs, **options).filter("taken > 0").select("rid", F.col("doc_id").alias("id_then"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = numbered(docs).join(taken, "rid").filter(checked(F.col("doc")["doc_id"], F.col("id_then"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return rows.select("doc.*")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as taken / size says, the one at the budget's edge cut after the words that fit; documents without words don't appear."""
-    taken = mix_sources(docs, **options).filter("taken > 0").select("rid", "size", "taken")
+    taken = mix_sources(docs, **options).filter("taken > 0").select("rid", F.col("doc_id").alias("id_then"), "size", "taken")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    rows = numbered(docs).join(taken, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    rows = numbered(docs).join(taken, "rid").filter(checked(F.col("doc")["doc_id"], F.col("id_then"))).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     head = F.regexp_extract("doc.text", r"^[\x20\x09-\x0D]*", 0)
     cut = F.concat(head, F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words), ""))

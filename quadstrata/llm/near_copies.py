@@ -9,7 +9,10 @@ bucket, rows are compared with two hubs, the ends of an order that differs by ba
 bucket of up to three has all its pairs, a large one two for each row, never the square.
 
 Every candidate is verified on the whole sets before it links; classes are the
-components of verified links.  Texts without words are alike; null texts are empty.
+components of verified links.  Texts without words are alike; null texts are empty.  Null
+ids and repeated rows are rows like others; of a class the smallest id stays, null ids last.
+Texts of any length are compared whole.  An empty table gives no row.  Decisions go back to
+whole rows by number, and the job stops if a number has come to mean another id.
 """
 
 from __future__ import annotations
@@ -98,4 +101,5 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, budget: int
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class of near copies; docs must be a plan that repeats, such as a table scan."""
-    return without(docs, near_copies(docs, **options).filter(~F.col("keeper")).select("rid"))
+    id_col = options.get("id_col", "doc_id")
+    return without(docs, near_copies(docs, **options).filter(~F.col("keeper")).select("rid", id_col), id_col)

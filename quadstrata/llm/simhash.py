@@ -14,7 +14,10 @@ so a large group of near copies costs no pair enumeration, and a shard returns a
 one edge per fingerprint.  Edges of all shards meet in ``graph.components``.
 
 Null texts are empty texts.  The class id is the smallest id of the component; null
-ids are in a class but never name it unless it has no other.
+ids are in a class but never name it unless it has no other.  Repeated rows have a row
+each, and one keeper.  Texts of any length are read whole.  An empty table gives no row.
+Only the id and the text column are read; decisions go back to whole rows by number, and
+the job stops if a number has come to mean another id, so columns of any name can't clash.
 """
 
 from __future__ import annotations
@@ -286,4 +289,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component; docs must be a plan that repeats, such as a table scan."""
-    return without(docs, near_duplicates(docs, **options).filter(~F.col("keeper")).select("rid"))
+    id_col = options.get("id_col", "doc_id")
+    return without(docs, near_duplicates(docs, **options).filter(~F.col("keeper")).select("rid", id_col), id_col)

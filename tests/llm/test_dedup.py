@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from quadstrata.llm import exact_dedup, graph, near_copies, simhash
+from quadstrata.llm import common, exact_dedup, graph, near_copies, simhash
 
 norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
 
@@ -33,6 +33,23 @@ def test_exact_keep_first(docs, rows, none):
     assert exact_dedup.keep_first(none).count() == 0 and exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_ties_under_another_partitioning(docs):
+    again = docs.repartition(2, "doc_id")
+    for f, cols in ((exact_dedup.exact_dedup, ("doc_id", "keep_id", "group_size", "text_sha256")), (simhash.near_duplicates, ("doc_id", "fp", "component_id"))):
+        one, other = (Counter(tuple(str(v) for v in r) for r in f(t).select(*cols).collect()) for t in (docs, again))
+        assert one == other
+
+
+def test_changed_row_numbers_stop_the_job(spark):
+    import pytest
+
+    docs = spark.range(4).selectExpr("id as doc_id", "'x' as text")
+    wrong = docs.selectExpr("monotonically_increasing_id() as rid", "doc_id + 1 as doc_id")
+    with pytest.raises(Exception, match="changed their numbers"):
+        common.without(docs, wrong).count()
+    assert common.without(docs, wrong.limit(0)).count() == 4
+
+
 def brute_fingerprint(text):
     import xxhash
 

@@ -135,6 +135,16 @@ def test_pii_validators_and_context():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000 + ".") == []
 
 
+def test_pii_in_time_linear_in_the_text():
+    import time
+
+    for unit in ("AB12AAAA", "AB12AAAA ", "1.1.", "+1 ", "a@a.", "4111 "):
+        began = time.process_time()
+        text = unit * (1_000_000 // len(unit))
+        pii.base_spans(text), pii.more_spans(text)
+        assert time.process_time() - began < 6
+
+
 @pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "BR97 0036 0305 0000 1000 9795 493P 1"])
 @pytest.mark.parametrize("after", ["", " BIC COBADEFF", " 2024 paid", " GB82 WEST 1234 5698 7654 32", "\n"])
 def test_iban_with_words_after_it(iban, after):
