@@ -16,7 +16,7 @@ from .common import partitions
 
 SAMPLE = 500_000
 #: Parts for each partition of the input: a part is a fraction of what a task reads.
-FINER = 4
+FINER = 2
 
 
 def with_row_numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
