@@ -67,9 +67,15 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 
 
 def write_block(docs: list[np.ndarray], bits: int) -> bytes:
-    offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs], dtype=np.int64))).astype("<u8")
-    head = MAGIC + np.array([bits, len(docs)], "<u4").tobytes() + offsets[-1:].tobytes()
-    return head + offsets.tobytes() + pack(np.concatenate(docs) if docs else np.empty(0, "<u4"), bits)
+    return joined_block([pack(d, bits) for d in docs], [len(d) for d in docs], bits)
+
+
+def joined_block(packed: list[bytes], lens: list[int], bits: int) -> bytes:
+    """A block of documents that are packed already, each from a whole byte on."""
+    offsets = np.concatenate(([0], np.cumsum(lens, dtype=np.int64))).astype("<u8")
+    head = MAGIC + np.array([bits, len(lens)], "<u4").tobytes() + offsets[-1:].tobytes()
+    payload = b"".join(packed) if bits % 8 == 0 else pack(np.concatenate([np.empty(0, "<u4"), *[unpack(p, bits, 0, n) for p, n in zip(packed, lens)]]), bits)
+    return head + offsets.tobytes() + payload
 
 
 def block_offsets(block: bytes) -> tuple[int, np.ndarray, int]:
@@ -114,7 +120,7 @@ class _Encoder(dict):
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
 
     def __missing__(self, piece: str) -> bytes:
-        if not self.direct or piece > "" and max(piece) > "ɏ" or "<|" in piece:
+        if not self.direct or not piece.isascii() and max(piece) > "ɏ" or "<|" in piece:
             ids = np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         else:
             low = piece.lower()
@@ -164,10 +170,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: i
             yield pa.RecordBatch.from_arrays([pa.array(where.place(b.column("id"), b.column("rid"))[0]), b.column("id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["part", "id", "rid", "n", "packed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, total, part, seq = [], [], 0, None, 0
+        held, lens, ids, total, part, seq = [], [], [], 0, None, 0
 
         def flush():
-            data = write_block(held, bits)
+            data = joined_block(held, lens, bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([ids], pa.list_(arrow_id)), pa.array([len(held)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["part", "block", "ids", "n_docs", "n_ids", "bytes"])
 
         for b in batches:
@@ -175,11 +181,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: i
                 if held and (p != part or total >= block_ids or len(held) >= block_docs):
                     yield flush()
                     seq = seq + 1 if p == part else 0
-                    held, ids, total = [], [], 0
+                    held, lens, ids, total = [], [], [], 0
                 elif p != part:
                     seq = 0
                 part = p
-                held.append(unpack(packed.as_py(), bits, 0, n))
+                held.append(packed.as_py())
+                lens.append(n)
                 ids.append(i)
                 total += n
         if held:
