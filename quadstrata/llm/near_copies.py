@@ -5,7 +5,7 @@ shingles is ``least`` or more.  At 0.8 two SimHashes differ in about ten bits, w
 join on few bits finds; so candidates are the operator's links (``budget`` bits) and
 the texts that share a band of min-hashes: ``ROWS`` minima agree at similarity s with
 probability s^ROWS, and one of ``BANDS`` bands does at 0.8 with 0.998.  In each band's
-bucket, rows are compared with two hubs, the ends of an order that differs by band: a
+bucket, rows are compared with two hubs, the ends of an order by hashed id that differs by band: a
 bucket of up to three has all its pairs, a large one two for each row, never the square.
 
 Every candidate is verified on the whole sets before it links; classes are the
@@ -61,11 +61,11 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 def candidates(marked: DataFrame, budget: int) -> DataFrame:
     """Distinct pairs a < b of rows that may be near copies."""
-    entries = marked.select("rid", F.posexplode("bands").alias("band", "key")).withColumn("place", F.struct(F.xxhash64("band", "rid").alias("h"), "rid"))
+    entries = marked.select("rid", "id", F.posexplode("bands").alias("band", "key")).withColumn("place", F.struct(F.xxhash64("band", "id").alias("h"), "rid"))
     hubs = entries.groupBy("band", "key").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low.rid <> high.rid")
     hubs = hubs.select("band", "key", F.explode(F.array("low.rid", "high.rid")).alias("hub"))
     found = entries.select("rid", "band", "key").join(hubs, ["band", "key"]).select("hub", "rid")
-    classes = materialise(marked.groupBy("fp").agg(F.min("rid").alias("first")), "nearfp")
+    classes = materialise(marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best")).select("fp", F.col("best.rid").alias("first")), "nearfp")
     links = link_edges(classes.select("fp"), budget)
     links = links.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("hub")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("rid")), "b").select("hub", "rid")
     same = marked.join(classes, "fp").select(F.col("first").alias("hub"), "rid")
