@@ -159,6 +159,44 @@ def test_near_copies_against_all_pairs(spark, docs, rows, none, tmp_path):
     assert pairs(table) == pairs(table.repartition(3, "text"))  # the hubs don't depend on how rows are dealt
 
 
+def test_near_copies_beside_the_hubs(spark, tmp_path):
+    """Chains of texts that share most of themselves: two hubs of a bucket don't join them, and its blocks must."""
+    rng = np.random.default_rng(3)
+    data, words = [], [f"w{k}" for k in range(5000)]
+    for g in range(6):
+        w = rng.choice(words, 130)
+        for k in range(40):
+            data.append((1000 * g + k, " ".join(w)))
+            w = w.copy()
+            w[rng.choice(130, 1 + g % 3, replace=False)] = rng.choice(words, 1 + g % 3)
+    spark.createDataFrame(data, "doc_id bigint, text string").repartition(3).write.parquet(path := str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(path)
+    sets = [frozenset(simhash.shingles(t, 5).tolist()) for _, t in data]
+    lab = classes([(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], len(sets))
+    stay = sorted({data[k][0] for k in lab})
+    marked = common.materialise(near_copies.sketches(table, 5, "doc_id", "text"), "test")
+    hubs = graph.components(near_copies.verified(table, near_copies.candidates(marked, 4), 5, 0.8, "text"))
+    every = [near_copies.remaining(marked, hubs, 0.8, block=b).collect() for b in (8192, 7, 1)]
+    assert every[0] and all(sorted(e) == sorted(every[0]) for e in every)  # blocks of any size give the same pairs
+    assert sorted(r.doc_id for r in near_copies.keep_one(table, block=7).collect()) == stay
+
+
+def test_parity_bits_pass_over_no_similar_pair():
+    rng = np.random.default_rng(8)
+    for size in (1, 3, 20, 300, 5000):
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((base[rng.random(size) < keep], rng.integers(0, 2**64, rng.integers(0, size // 4 + 1), dtype=np.uint64)))) for keep in rng.uniform(0.7, 1, 40)]
+        bits = np.frombuffer(b"".join(map(near_copies.parity, sets)), np.uint64).reshape(len(sets), -1)
+        n, left = np.array(list(map(len, sets))), rng.random(len(sets)) < 0.5
+        near = {(a, b) for a in range(40) for b in range(a + 1, 40) if len(np.union1d(sets[a], sets[b])) * 0.8 <= len(np.intersect1d(sets[a], sets[b]))}
+        root = rng.integers(0, 30, 40)
+        near = {(a, b) for a, b in near if root[a] != root[b]}
+        i, j = near_copies.apart(root, n, bits, None, 0.8, chunk=50)
+        assert near <= set(zip(i.tolist(), j.tolist())) and (i < j).all()
+        i, j = near_copies.apart(root, n, bits, left, 0.8, chunk=50)
+        assert {(a, b) for a, b in near if left[a] != left[b]} <= {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
