@@ -79,3 +79,19 @@ def test_a_snapshot_has_the_last_rows_of_its_tiles(spark, tmp_path, monkeypatch)
         rows = h.view(made.id).tile_log([made]).select("type", "id", "tile", "version").collect()
         assert {(r.type, r.id, r.tile): r.version for r in rows} == last and len(rows) == len(last)
         assert {tuple(r) for r in h.view(made.id).tiled().collect()} == state
+
+
+def test_a_diff_holds_its_tiles_by_key(spark):
+    """A row for each object with all its tiles, from which tile rows, keys and tombstones come."""
+    from quadstrata.operators.changes import tiled_diff
+
+    objects, held = world(spark).drop("op"), []
+    tiles = tiling.object_tiles(objects).select("type", "id", "tile")
+    diff = tiled_diff(objects, tiles, some(spark, [("modify", 0, 1, 2, T, 3.6, 50.4, None, None), ("delete", 0, 2, 2, T, None, None, None, None)]), hold=lambda df: held.append(df) or df)
+    own = next(df for df in held if "tiles" in df.columns)
+    now = {(r.type, r.id): r for r in own.collect()}
+    rows = [tuple(r) for r in diff.tiles.collect()]
+    assert len(rows) == len(set(rows)) and {r[:3] for r in rows if r[3] is not None} == {(*k, t) for k, r in now.items() for t in r.tiles}
+    before = {tuple(r) for r in tiles.collect() if (r.type, r.id) in now or (r.type, r.id) == (0, 2)}
+    assert {r[:3] for r in rows if r[3] is None} == before - {r[:3] for r in rows if r[3] is not None}
+    assert (0, 2) in {(r.type, r.id) for r in diff.keys.collect() if r.deleted}
