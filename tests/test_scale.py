@@ -97,6 +97,14 @@ def test_a_diff_holds_its_tiles_by_key(spark):
     assert (0, 2) in {(r.type, r.id) for r in diff.keys.collect() if r.deleted}
 
 
+def test_a_build_holds_each_key_once(spark):
+    """What object_keys gives is read from what it held: the tiles of nodes and ways aren't written again with those of relations."""
+    held, objects = [], world(spark).drop("op")
+    keys = tiling.object_keys(objects, hold=lambda df: held.append(df) or df)
+    rows = [(r.type, r.id) for df in held for r in df.select("type", "id").collect()]
+    assert len(rows) == len(set(rows)) == keys.count() == objects.count()
+
+
 def test_a_diff_reads_its_tiles_by_key(spark, tmp_path):
     """The state comes to it as a row for each object, with the same outcome as from tile rows, and only tombstones are held as tile rows."""
     from quadstrata.operators.changes import squash, tiled_diff
