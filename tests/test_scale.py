@@ -111,11 +111,11 @@ def test_a_diff_reads_its_tiles_by_key(spark, tmp_path):
 
     h = History.create(spark, str(tmp_path / "h"), world(spark).drop("op"), 100)
     changes = squash(some(spark, [("modify", 0, 1, 2, T, 3.6, 50.4, None, None), ("delete", 0, 2, 2, T, None, None, None, None), ("modify", 1, 3, 2, T, None, None, [4, 5], None), ("delete", 1, 6, 2, T, None, None, None, None), ("modify", 2, 1, 2, T, None, None, None, [(0, 9, ""), (1, 6, "")])]))
-    objects, tiles = h.latest.affected(changes, lambda df: df)
+    held, settle = [], lambda df: spark.createDataFrame(df.collect(), df.schema)
+    objects, tiles = h.latest.affected(changes, settle)
     assert tiles.columns == ["type", "id", "tiles"] and tiles.count() == tiles.select("type", "id").distinct().count()
-    held = []
-    by_key = tiled_diff(objects, tiles, changes, hold=lambda df: held.append(df) or df)
-    by_tile = tiled_diff(objects, tiles.select("type", "id", F.explode("tiles").alias("tile")), changes)
+    by_key = tiled_diff(objects, tiles, changes, hold=lambda df: held.append(settle(df)) or held[-1])
+    by_tile = tiled_diff(objects, tiles.select("type", "id", F.explode("tiles").alias("tile")), changes, hold=settle)
     for a, b in ((by_key.tiles, by_tile.tiles), (by_key.keys, by_tile.keys), (by_key.refs, by_tile.refs), (by_key.objects.select("type", "id", "version"), by_tile.objects.select("type", "id", "version"))):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
     assert [df.filter("version is not null").count() for df in held if "tile" in df.columns] == [0]
