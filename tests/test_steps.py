@@ -25,3 +25,12 @@ def test_parents_by_reference_compare_the_last_diffs_keys_alone(spark, tmp_path)
     whole = changes.differing(*(v.tiled().filter("type = 0").select("id", "tile") for v in (before, after)))
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in whole.collect()) != []
     assert not [f for f in found.inputFiles() if "tile_log" in f and h.layers[2].name not in f]
+
+
+def test_time_travel_builds_two_diffs(spark, tmp_path):
+    d = str(tmp_path)
+    tables(spark, d)
+    got = sorted(map(tuple, q.history_time_travel(spark, d).collect()))
+    h = fx.stored(spark, d, fx.FULL)
+    assert [x.kind for x in h.layers] == ["full", "diff", "diff"]  # one diff less than there are
+    assert got == sorted(map(tuple, h.view(h.layers[1].id).tiled().collect())) != sorted(map(tuple, h.latest.tiled().collect()))
